@@ -121,7 +121,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
     for i in np.flatnonzero(short):
         own = hashes[first[i] : first[i + 1]]
         value = np.array([len(own)], dtype=U64)
-        for k, h in enumerate(own):
-            value = value * U64(_ROOT) + h * by[k]
+        for k in range(len(own)):
+            value = value * U64(_ROOT) + own[k : k + 1] * by[k]
         out[out_first[i]] = mix(value)[0]
     return out, out_first
