@@ -95,6 +95,16 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: boo
     return mix((run[ends] - run[starts]) * down[starts]), starts, ends, np.searchsorted(starts, offsets)
 
 
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the first ``length`` bytes of each word, ASCII lower-cased; 0 for a word that isn't longer."""
+    out, at = np.zeros(len(starts), dtype=U64), np.flatnonzero(ends - starts > length)
+    value = np.full(len(at), length, dtype=U64)
+    for i in range(length):
+        value = value * U64(_ROOT) + LOWER[data[starts[at] + i]]
+    out[at] = mix(value)
+    return out
+
+
 def per_text(first: np.ndarray) -> np.ndarray:
     """The number of the text of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
