@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ledgerlark.plans import invoices, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = invoices.QUERIES | records.QUERIES
+ORACLES: dict[str, str] = invoices.ORACLES | records.ORACLES
