@@ -171,12 +171,12 @@ def records(file, payloads: bool = False) -> Iterator[dict]:
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, record_type, refers_to. The first page of each payload comes from a pre-aggregated minimum; the join on the payload's digest is one that AQE can
-    split where many pages share a payload."""
+    """page_id, url, html, record_type, refers_to. The first page of each payload comes from a pre-aggregated minimum; the join on the payload's digest hashes
+    that narrow side, so that pages aren't sorted, and is one that AQE can split where many pages share a payload."""
     own = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("_digest", F.sha1(F.col("html").cast("binary")))
     first = own.groupBy(F.col("_digest").alias("_d")).agg(F.min("page_id").alias("_first"))
     again = (F.octet_length("html") >= least) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return own.join(first, F.col("_digest") == F.col("_d")).select(
+    return own.join(first.hint("shuffle_hash"), F.col("_digest") == F.col("_d")).select(
         "page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to")
     )
 
@@ -191,8 +191,9 @@ def write_archives(plan: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
             file.close()
             return pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-        for batch in batches:
-            for page_id, url, html, kind, first in zip(*(c.to_pylist() for c in batch.columns)):
+        parts = (batch.slice(at, 128) for batch in batches for at in range(0, batch.num_rows, 128))
+        for part in parts:
+            for page_id, url, html, kind, first in zip(*(c.to_pylist() for c in part.columns)):
                 if file is None:
                     path, n, size = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     file = _open(path, "wb")
