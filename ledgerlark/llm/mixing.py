@@ -16,7 +16,7 @@ table gives an empty result. Columns besides doc_id, text and source are not rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,11 +28,16 @@ BLOCK = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def seeded(seed: int, c: Column) -> Column:
+    """60 bits of the MD5 of seed and value as a number: the same in any SQL engine. A null is the word null."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(c.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("bigint")
+
+
 def sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_order"),
+        seeded(seed, F.col("doc_id")).alias("_order"),
     )
 
 
@@ -106,9 +111,9 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, weights: tuple[int,
         F.col("source").alias("_source"), "source_size", "target", "blocks",
         F.when(F.col("source_size") > 0, F.floor(run / F.col("source_size"))).otherwise(0).alias("_whole"),
         F.when(F.col("source_size") > 0, run % F.col("source_size")).otherwise(0).alias("_run"),
-        F.when(F.col("source_size") > 0, F.floor(F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.col("source_size")) / block) * block).otherwise(0).alias("_from"),
+        F.when(F.col("source_size") > 0, F.floor(F.pmod(seeded(seed, F.col("source")), F.col("source_size")) / block) * block).otherwise(0).alias("_from"),
     )
-    ranged = sizes.withColumn("_range", F.shiftright("_order", 54).cast("int"))
+    ranged = sizes.withColumn("_range", F.shiftright("_order", 50).cast("int"))
     starts = (
         ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

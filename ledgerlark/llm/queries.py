@@ -66,4 +66,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS ord FROM documents),
+own AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM own),
+ratios AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, CAST(2 * source_size AS DOUBLE) / weight AS ratio, 1.5 * sum(source_size) OVER () AS total FROM weighed),
+levels AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER (ORDER BY ratio, source NULLS LAST) AS k FROM ratios),
+water AS (SELECT min_by(level, k) AS level FROM levels WHERE level < ratio),
+goals AS (SELECT source, source_size, CAST(CASE WHEN w.level IS NULL THEN cap ELSE least(cap, weight * w.level) END AS DOUBLE) AS target FROM levels, water w),
+seats AS (SELECT source, row_number() OVER (ORDER BY target / (2 * s.range + 1) DESC, source NULLS LAST, s.range) AS place, n
+  FROM goals, (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM goals), range(100000) s WHERE s.range < n),
+blocks AS (SELECT g.source, source_size, target, coalesce(b, 0) AS blocks FROM goals g
+  LEFT JOIN (SELECT source, count(*) AS b FROM seats WHERE place <= n GROUP BY source) q ON g.source IS NOT DISTINCT FROM q.source),
+runs AS (SELECT *, least(blocks * 16, 2 * source_size) // greatest(source_size, 1) AS whole, least(blocks * 16, 2 * source_size) % greatest(source_size, 1) AS run,
+  (CAST('0x' || substr(md5('42:' || coalesce(source, 'null')), 1, 15) AS BIGINT) % greatest(source_size, 1)) // 16 * 16 AS beg FROM blocks),
+placed AS (SELECT s.doc_id, s.size, r.*, sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS stop
+  FROM sized s JOIN runs r ON s.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(blocks AS BIGINT) AS blocks, CAST(whole * size
+  + greatest(0, least(stop, beg + run, source_size) - greatest(stop - size, beg)) + greatest(0, least(stop, beg + run - source_size) - (stop - size)) AS BIGINT) AS taken FROM placed
+"""
+
+_TEMPLATES = ", ".join(f"('{t}', '{label}')" for t, label in licenses.TEMPLATES.items())
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_PLACES = " || ".join(
+    f"[i FOR i IN range(len(w)) IF w[i + 1:i + {len(p.split())}] = [{', '.join(repr(x) for x in p.split())}]]" for p in licenses.PHRASES
+)
+_BASE = " || ".join(f"CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' {p} ') THEN ['{label}'] ELSE [] END" for p, label in licenses.PHRASES.items())
+LICENSES_SQL = f"""
+WITH low AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS t FROM documents),
+worded AS (SELECT doc_id, r, t, regexp_extract_all(t, '{_WORDS}') AS w FROM low),
+based AS (SELECT doc_id, r, t, len(w) AS n_words, CASE WHEN t LIKE '%license%' OR t LIKE '%nc%' THEN {_PLACES} ELSE [] END AS places, {_BASE} AS base FROM worded),
+lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORDS}')) AS b FROM low WHERE regexp_matches(t, 'license|licensed|granted|compliance|redistribut|rights|mozilla')),
+templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS words FROM (VALUES {_TEMPLATES}) AS v(t, label)),
+met AS (SELECT r, label, len(list_intersect(words, b)) / len(words) AS share FROM lines, templates WHERE len(list_intersect(words, b)) >= {licenses.THRESHOLD} * len(words) - 1e-9),
+per AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM met GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels,
+  CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM based LEFT JOIN per USING (r)
+"""
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {5 * g + 1}, 5) AS INTEGER) >> {shift}) & 31), 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+WARC_SQL = f"""
+WITH hashed AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+own AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_page FROM hashed)
+SELECT page_id, coalesce(url, 'urn:page:' || page_id) AS uri, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to, true AS valid FROM own
+"""
+
+#: The other operators learn, hash or place in ways that SQL can't express; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op9_warc": WARC_SQL}
