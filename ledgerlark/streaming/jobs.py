@@ -66,6 +66,12 @@ def admitted(jobs_: DataFrame, most: int = 1) -> bool:
     return active(jobs_).first()["n"] < max(1, most)
 
 
+def swept(jobs_: DataFrame, progress_: DataFrame, now: Column | float) -> tuple[DataFrame, DataFrame]:
+    """What is left before a job is admitted: expired jobs and progress without a job are gone, stale jobs have failed."""
+    alive = failed_when_stale(jobs_.filter(F.col("expires") >= now), progress_, now)
+    return alive, progress_.join(alive.select("job_id"), "job_id", "left_semi")
+
+
 def job_stream(events: DataFrame) -> DataFrame:
     """job_id, status, changed, heartbeat, message of each job with news, from a stream of events with column ``ts`` under a watermark. An active job that is silent
     for STALE seconds of event time fails; a job's state is dropped when it expires."""
