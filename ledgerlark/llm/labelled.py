@@ -55,7 +55,7 @@ def sample_features(docs: DataFrame, ids: DataFrame, extract: Extract) -> list[t
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, feature binary, count binary").collect()
     once = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["feature"]))}
-    return [(k, r["y"], np.frombuffer(r["feature"], "<i4").astype(np.int64), np.frombuffer(r["count"], "<i4").astype(np.float64)) for k, r in once.items()]
+    return [(k, r["y"], np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["count"], "<i4")) for k, r in once.items()]
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float) -> DataFrame:
