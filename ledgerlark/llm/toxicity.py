@@ -28,7 +28,7 @@ from ledgerlark.llm import labelled, textpack
 
 #: Most confirmed toxic and most unlabelled documents that are learnt from.
 POSITIVES, UNLABELLED = 3000, 9000
-LEAST, RARE, MOST = 8, 0.002, 0.3
+LEAST, RARE, MOST = 8, 0.001, 0.15
 STEMS = (4, 6)
 MODELS, EPOCHS, STEPS, LEAST_BATCH, RATE, DECAY = 3, 20, 16, 32, 50.0, 1e-5
 #: Share of the prior that the unlabelled rows scored 0.5 or more make up.
