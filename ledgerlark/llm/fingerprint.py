@@ -108,7 +108,7 @@ def _bucket(bounds: list[int], low: int = 0) -> Column:
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, guest, doc_id, text): one partition for each range of doc_id, sorted; its last row, the guest, is the first document of the
     next range. Each text moves once; the driver sees one number per range."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
     bucket = _bucket(sorted(set(cuts or ())))
     ranged = docs.withColumn("bucket", bucket)

@@ -22,6 +22,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DEPTH = 256
 #: Columns that one cell may span.
@@ -424,4 +425,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, title, text, n_chars, n_lines: one row per page, where the page lies, without a shuffle."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, title string, text string, n_chars long, n_lines long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_extract, "page_id long, url string, title string, text string, n_chars long, n_lines long")

@@ -66,7 +66,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
             got = [score(data, offsets) for _, _, data, offsets in textpack.chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else [], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double").select(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 

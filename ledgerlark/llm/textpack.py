@@ -88,11 +88,19 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, lower: boo
     ends = np.append(at[1:], n)
     keep = kind[at] > 0
     starts, ends = at[keep], ends[keep]
-    up, down = _powers(n)
-    run = np.empty(n + 1, dtype=U64)
-    run[0] = 0
-    np.cumsum(((LOWER[data] if lower else data).astype(U64) + U64(1)) * up[:n], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts]), starts, ends, np.searchsorted(starts, offsets)
+    hashes, at = np.empty(len(starts), dtype=U64), 0
+    while at < len(starts):  # one turn, unless a text is longer than a chunk
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
+        lo, size = starts[at], ends[to - 1] - starts[at]
+        up, down = _powers(int(size))
+        part = data[lo : lo + size]
+        run = np.empty(size + 1, dtype=U64)
+        run[0] = 0
+        np.cumsum(((LOWER[part] if lower else part).astype(U64) + U64(1)) * up[:size], out=run[1:])
+        a, b = starts[at:to] - lo, ends[at:to] - lo
+        hashes[at:to] = (run[b] - run[a]) * down[a]
+        at = to
+    return mix(hashes), starts, ends, np.searchsorted(starts, offsets)
 
 
 def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:

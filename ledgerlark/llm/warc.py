@@ -173,7 +173,7 @@ def records(file, payloads: bool = False) -> Iterator[dict]:
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, record_type, refers_to. The first page of each payload comes from a pre-aggregated minimum; the join on the payload's digest hashes
     that narrow side, so that pages aren't sorted, and is one that AQE can split where many pages share a payload."""
-    own = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("_digest", F.sha1(F.col("html").cast("binary")))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("_digest", F.sha1(F.col("html").cast("binary")))
     first = own.groupBy(F.col("_digest").alias("_d")).agg(F.min("page_id").alias("_first"))
     again = (F.octet_length("html") >= least) & F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return own.join(first.hint("shuffle_hash"), F.col("_digest") == F.col("_d")).select(

@@ -111,3 +111,14 @@ def test_word_hashes_match_a_plain_tokenizer():
             for w, h in zip(own, hashes[first[i] : first[i + 1]]):
                 assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen) == 5
+
+
+def test_texts_longer_than_a_chunk_hash_alike(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"word{i}" for i in range(3000))
+    (_, _, data, offsets), = textpack.chunks(pa.array([text]))
+    want = textpack.words(data, offsets, textpack.SPACED)
+    monkeypatch.setattr(textpack, "CHUNK", 50)
+    got = textpack.words(data, offsets, textpack.SPACED)
+    assert all((a == b).all() for a, b in zip(want, got))
