@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 import pandas as pd
@@ -20,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column | str) -> Column:
     """Null as the empty string."""
     return F.coalesce(col(c), F.lit(""))
@@ -45,7 +51,7 @@ def compact(c: Column | str) -> Column:
 
 
 @cache
-def _folds() -> tuple[str, str]:
+def accent_folds() -> tuple[str, str]:
     """Composed Latin letters and the base letters they reduce to, by decomposition."""
     pairs = {"đ": "d", "Đ": "D"}
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
@@ -57,7 +63,7 @@ def _folds() -> tuple[str, str]:
 
 def fold_accents(c: Column | str) -> Column:
     """Latin letters without their accents; of composed text the length doesn't change."""
-    return F.regexp_replace(F.translate(col(c), *_folds()), r"\p{Mn}+", "")
+    return F.regexp_replace(F.translate(col(c), *accent_folds()), r"\p{Mn}+", "")
 
 
 def decimal_strict(c: Column | str) -> Column:

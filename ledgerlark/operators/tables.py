@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import compact, decimal_strict, fold_accents, rejoined
+from ledgerlark.functions.scalars import compact, decimal_strict, fold_accents, let, rejoined
 
 # Header labels of the columns, and the English wordings that only fill what those leave open.
 LABELS = [
@@ -24,6 +24,9 @@ LABELS = [
 ENGLISH = [("STT", r"\bstt\b|\(no\.?\)"), ("THHDVu", r"\bdescription\b"), ("DVTinh", r"\(unit\)"), ("SLuong", r"\bquantity\b"), ("DGia", r"\bunit price\b"), ("ThTien", r"\(amount\)")]
 NEEDED = ["STT", "THHDVu", "SLuong", "DGia", "ThTien"]
 FIELDS = [f for _, f in LABELS]
+#: What a header row holds somewhere (STT in any accents, or its English wording); what a row of totals or rates holds.
+MAY_BE_HEADER = r"(?iu)[s\u015b\u015d\u015f\u0161\u0219]\p{M}*[t\u0163\u0165\u021b]\p{M}*[t\u0163\u0165\u021b]|\(no\.?\)"
+MAY_BE_TOTAL = r"(?iu)tổng|cộng|thuế"
 
 
 def folded(c: Column) -> Column:
@@ -33,20 +36,21 @@ def folded(c: Column) -> Column:
 def header_columns(cells: Column) -> Column:
     """Field to column number (from 0) if the row is a header, else null. Of several columns with a field's label the last
     counts; an English wording fills a field that no label before or in that cell has set, or that none sets at all."""
-    plain = F.transform(cells, lambda c: folded(compact(c)))
-    entries = []
-    for label, field in LABELS:
-        # array_max gives the last matching column
-        at = F.array_max(_places(plain, _starting(_plain(label))))
-        english = [p for f, p in ENGLISH if f == field]
-        if english:
-            at = F.coalesce(at, F.array_min(_places(cells, _holding(english[0]))))
-        entries.append((field, at))
-    found = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), at.alias("v")) for f, at in entries]), lambda e: e["v"].isNotNull()))
-    complete = reduce(lambda a, b: a & b, [F.map_contains_key(found, F.lit(f)) for f in NEEDED])
-    # no header without a line number column: one look at the row spares the others the search
-    row = folded(F.array_join(cells, " ", ""))
-    return F.when(F.contains(row, F.lit("stt")) | F.rlike(row, F.lit(r"\(no\.?\)")), F.when(complete, found))
+    def found(plain: Column) -> Column:
+        entries = []
+        for label, field in LABELS:
+            at = F.array_max(_places(plain, _starting(_plain(label))))
+            for pattern in (p for f, p in ENGLISH if f == field):
+                at = F.coalesce(at, F.array_min(_places(cells, _holding(pattern))))
+            entries.append(F.struct(F.lit(field).alias("k"), at.alias("v")))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+
+    def whole(columns: Column) -> Column:
+        return F.when(reduce(lambda a, b: a & b, [F.map_contains_key(columns, F.lit(f)) for f in NEEDED]), columns)
+
+    # no header without a line number column: one look at the row spares most rows the search
+    folded_cells = F.transform(cells, lambda c: folded(compact(c)))
+    return F.when(F.rlike(F.array_join(cells, " ", ""), F.lit(MAY_BE_HEADER)), let(folded_cells, lambda plain: let(found(plain), whole)))
 
 
 def _starting(prefix: str) -> Callable[[Column], Column]:
@@ -71,7 +75,8 @@ def analysed(tables: DataFrame) -> DataFrame:
     """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force."""
     row = tables.withColumn("row", F.transform("cells", compact)).withColumn("header", header_columns(F.col("cells")))
     row = row.withColumn("filled", F.filter("row", lambda c: c != "")).withColumn("first", F.lower(F.coalesce(F.get("filled", F.lit(0)), F.lit(""))))
-    row = row.withColumn("numbers", F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull()))
+    numbers = F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull())
+    row = row.withColumn("numbers", F.when(F.rlike(F.array_join("filled", " "), F.lit(MAY_BE_TOTAL)), numbers).otherwise(F.array().cast("array<string>")))
     n, first, plain = F.size("numbers"), F.col("first"), F.col("header").isNull() & (F.size("filled") > 0)
     starts = lambda *texts: reduce(lambda a, b: a | b, [F.startswith(first, F.lit(t)) for t in texts])
     three = plain & starts("tổng cộng") & (n == 3)
