@@ -80,8 +80,9 @@ def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     if not positive or not unlabelled:
         return Model(np.zeros(SIZE), -35.0, np.zeros(SIZE, dtype=bool))
     n = len(positive) + len(unlabelled)
+    # common is what many of the unlabelled hold: the positives are drawn more often than they occur
     df = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=SIZE)
-    used = (df >= min(max(LEAST, RARE * n), max(1, len(positive) // 4))) & (df <= MOST * n)
+    used = (df >= min(max(LEAST, RARE * n), max(1, len(positive) // 4))) & (np.bincount(np.concatenate(unlabelled), minlength=SIZE) <= MOST * len(unlabelled))
     positive, unlabelled = [r[used[r]] for r in positive], [r[used[r]] for r in unlabelled]
     total, base = np.zeros(SIZE), 0.0
     for model in range(MODELS):

@@ -122,3 +122,9 @@ def test_texts_longer_than_a_chunk_hash_alike(monkeypatch):
     monkeypatch.setattr(textpack, "CHUNK", 50)
     got = textpack.words(data, offsets, textpack.SPACED)
     assert all((a == b).all() for a, b in zip(want, got))
+
+
+def test_a_marker_of_most_positives_is_not_taken_for_a_common_word():
+    row = lambda i, toxic: np.array([7] * toxic + [1000 + i % 50, 9], dtype=np.int64)
+    model = toxicity.fitted([row(i, True) for i in range(60)], [row(i, i % 10 == 0) for i in range(180)], 0.1)
+    assert model.used[7] and model.weights[7] > 0 and not model.used[9]
