@@ -1,4 +1,4 @@
-"""Scalar functions, Column in and Column out, that stay in generated JVM code (but for ``nfc`` and ``html_unescaped``)."""
+"""Scalar functions, Column in and Column out, that stay in the JVM (but for ``html_unescaped``)."""
 
 from __future__ import annotations
 
@@ -31,12 +31,6 @@ def blank(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no such function. Only needed where input isn't composed already."""
-    return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def html_unescaped(values: pd.Series) -> pd.Series:
     """All HTML character references resolved."""
@@ -45,9 +39,42 @@ def html_unescaped(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 
 
-def compact(c: Column | str) -> Column:
+def spaced(c: Column | str) -> Column:
     """Runs of white space to one space, none at the ends, null to empty."""
-    return F.trim(F.regexp_replace(blank(c), f"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(blank(c), f"(?! ){BLANK}{BLANK}*| {BLANK}+", " "))  # a lone space may stay
+
+
+def compact(c: Column | str) -> Column:
+    """The same of the composed text."""
+    return spaced(nfc(c))
+
+
+@cache
+def compositions() -> list[tuple[str, str, str]]:
+    """(mark, letters, letters with the mark) of the Latin letters that Unicode composes."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(x) for x in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))
+    out = []
+    for mark in map(chr, range(0x300, 0x370)):
+        pairs = [(x, y) for x in letters if len(y := unicodedata.normalize("NFC", x + mark)) == 1]
+        if pairs:
+            out.append((mark, *map("".join, zip(*pairs))))
+    return out
+
+
+def nfc(c: Column | str) -> Column:
+    """Latin letters followed by combining marks as composed letters (Unicode NFC, for which Spark has no function); other scripts stay as they are. A text without
+    marks costs one look."""
+    s = col(c)
+
+    def step(base: Column, mark: Column) -> Column:
+        joined = reduce(lambda x, entry: x.when(mark == entry[0], F.translate(base, *entry[1:])), compositions()[1:], F.when(mark == compositions()[0][0], F.translate(base, *compositions()[0][1:]))).otherwise(base)
+        return let(joined, lambda x: F.when(x != base, x).otherwise(F.concat(base, mark)))
+
+    def piece(x: Column) -> Column:
+        return F.when(F.rlike(x, F.lit(r"^\P{M}\p{M}+$")), F.aggregate(F.split(F.substring(x, F.lit(2), F.length(x)), ""), F.substring(x, 1, 1), step)).otherwise(x)
+
+    cut = r"(?=\P{M}\p{M})|(?<=\p{M})(?=\P{M})"
+    return F.when(s.rlike(r"\p{M}"), F.array_join(F.transform(F.split(s, cut), piece), "")).otherwise(s)
 
 
 @cache
@@ -68,7 +95,7 @@ def fold_accents(c: Column | str) -> Column:
 
 def decimal_strict(c: Column | str) -> Column:
     """A number as printed on an invoice, 1.234.567,50; anything else is null. For validation."""
-    s = F.regexp_replace(compact(c), " ", "")
+    s = F.regexp_replace(spaced(c), " ", "")
     plain = F.translate(s, ",.", ".")
     return F.when(s.rlike(r"^[-+]?(\d+|\d{1,3}(\.\d{3})+)(,\d+)?$"), plain.try_cast("decimal(38,8)"))
 

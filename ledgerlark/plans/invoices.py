@@ -180,7 +180,7 @@ UNION ALL SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'No~
 
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: each order as a labelled text."""
-    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = derived.spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     code = F.lpad(F.col("o_custkey").cast("string"), 10, "1")
     day = F.col("o_orderdate")
     parts = [

@@ -1,4 +1,5 @@
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,8 +22,13 @@ Tiền thuế GTGT: 100.000
 Tổng cộng tiền thanh toán: 1.100.000"""
 
 
-def test_text_invoice():
-    d = labels.document_of(TEXT)
+def document_of(spark, text):
+    made = labels.text_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    return json.loads(made.document_json)
+
+
+def test_text_invoice(spark):
+    d = document_of(spark, TEXT)
     general, content = d["TTChung"], d["NDHDon"]
     assert (general["KHHDon"], general["SHDon"], general["NLap"], general["DVTTe"]) == ("1C24TAA", "00000123", "2024-03-05", "VND")
     assert (content["NBan"]["Ten"], content["NBan"]["MST"], content["NBan"]["DChi"]) == ("CÔNG TY TNHH ABC", "0101234567", "1 Lê Lợi")
@@ -41,17 +47,23 @@ def test_text_invoice():
         ("xSố: 1", False, []),
         ("Dia chi： q", False, [("address", "q")]),
         ("", False, []),
+        ("Địa chỉ: 1 Lê Lợi\u2028Quận 1\nSố: 5", True, [("address", "1 Lê Lợi Quận 1"), ("number", "5")]),
+        ("Địa chỉ: A\nA\nB: C", True, [("address", "A")]),
+        (unicodedata.normalize("NFD", "Mã số thuế: 01 Điện thoại: 02"), False, [("tax", "01"), ("phone", "02")]),
+        ("Điện thoại:\n \n\t\nx\x01y Email: z", False, [("phone", ""), ("email", "z")]),
     ],
 )
-def test_label_pairs(text, continued, want):
-    assert labels.label_pairs(text, continued) == want
+def test_label_pairs(spark, text, continued, want):
+    rows = labels.label_values(spark.createDataFrame([(1, text)], "doc_id long, text string"), continued).collect()
+    assert [(r.label, r.value) for r in sorted(rows, key=lambda r: r.pos)] == want
 
 
-def test_document_edges():
-    assert labels.document_of("") == template()
-    d = labels.document_of("Số tài khoản: 12 Ngân hàng ACB\nMã số thuế: 12\nNgày lập: 31/2/2024\nMã CQT: M1-2")
+def test_document_edges(spark):
+    assert document_of(spark, "") == document_of(spark, None) == template()
+    d = document_of(spark, "Số tài khoản: 12 Ngân hàng ACB\nMã số thuế: 12\nNgày lập: 31/2/2024\nMã CQT: M1-2")
     assert (d["NDHDon"]["NBan"]["STKNHang"], d["NDHDon"]["NBan"]["MST"], d["TTChung"]["NLap"], d["MCCQT"]) == ("12", "", "", "M1")
-    assert labels.value_of("a\nCustom (x): v  Số: 1", "custom") == "v"
+    after = spark.range(1).select(labels.value_after(F.lit("a\nCustom (x): v  Số: 1"), "custom").alias("a"), labels.value_after(F.lit("other: 1"), "x").alias("b"), labels.value_after(F.lit("b: 2\na: 1"), "a", "b").alias("c")).first()
+    assert tuple(after) == ("v", "", "2")
 
 
 def test_readers(spark):
@@ -76,7 +88,11 @@ def test_page_reader_and_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"x")
     (tmp_path / "big.txt").write_bytes(b"y" * 100)
     found = D.files(spark, str(tmp_path), most=50)
-    assert found.count() == 1
+    assert sorted((r.path.rsplit("/", 1)[1], r.content is None, bool(r.error)) for r in found.collect()) == [("a.pdf", False, False), ("big.txt", True, True)]
+    assert [r.error for r in D.parsed(found).filter("parser = 'text'").collect()] == ["the file is larger than 50 bytes"]
+    latin = spark.createDataFrame([("l.txt", "Số: 5 é".encode("utf-8")[:-2] + b"\xe9\nSerial: X", None), ("l.json", b'{"a":"\xe9"}', None), ("g.html", "Số: 6".encode(), None)], "path string, content binary, content_type string")
+    read = {r.path: r for r in D.parsed(latin).collect()}
+    assert "\ufffd" in read["l.txt"].extracted_text and read["l.txt"].document.TTChung.KHHDon == "X" and read["l.json"].error == "not valid JSON"
     reader = lambda df: df.select("path", F.lit("seen").alias("extracted_text"), F.lit(json.dumps({"MCCQT": "M"})).alias("document_json"))
     r = D.parsed(found, use_ocr=True, page_reader=reader).first()
     assert (r.extracted_text, r.document.MCCQT, r.ocr_engine) == ("seen", "M", "tesseract")
