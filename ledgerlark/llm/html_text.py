@@ -1,14 +1,14 @@
 """HTML extraction by layout: a tree builder with implied tags, visibility rules, and a renderer of all visible text.
 
 Builder: void and raw-text elements, comments, character references; a start tag closes what HTML says it closes (p, li, dt/dd, option, table
-parts), table rows and bodies are implied, a stray end tag is ignored, what is open at the end is closed. Beyond ``DEPTH``
-open elements, further ones become siblings.
+parts), table rows and bodies are implied, a stray end tag is ignored, what is open at the end is closed. Elements nest as deep as they like: neither the builder nor the renderer
+calls itself.
 
 Visibility: head, scripts, styles, templates and the like, ``hidden``, ``display:none`` and hidden inputs give nothing with all they hold;
 ``visibility:hidden`` gives nothing but descendants made visible again; the content of a closed ``details`` is hidden but for its summary.
 
 Rendering: blocks begin on lines of their own, paragraphs and the like are set off by an empty line, white space is collapsed except in
-``pre``; list items have their bullet or number and are indented by nesting; the cells of a table stand in columns of equal width, spans included.
+``pre``; list items have their bullet or number and are indented by nesting, as far as the first ``LEVELS`` levels; the cells of a table stand in columns of equal width, spans included.
 
 Nulls: null html gives an empty text and title. A null page_id or url is kept. Repeated rows are rendered each. An empty table gives
 an empty result. Columns besides page_id, url and html are not read.
@@ -17,6 +17,7 @@ an empty result. Columns besides page_id, url and html are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 256
+#: Levels of nesting that indent a line.
+LEVELS = 40
 #: Columns that one cell may span.
 SPAN = 1000
 
@@ -74,6 +76,7 @@ def parsed(html: str) -> Node:
     """The tree of a page or fragment."""
     root = Node("#root")
     stack, at, end, loose = [root], 0, len(html), False
+    places: dict[str, list[int]] = {}  # of each name: where its open elements stand in the stack
 
     def text(piece: str) -> None:
         if piece:
@@ -82,17 +85,22 @@ def parsed(html: str) -> Node:
                 return
             stack[-1].inner.append(piece)
 
+    def open_(node: Node) -> None:
+        stack[-1].inner.append(node)
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
     def close(names: set[str] | frozenset[str], scope: frozenset[str], all_: bool = False) -> None:
-        i = len(stack) - 1
-        lowest = None
-        while i > 0 and stack[i].tag not in scope:
-            if stack[i].tag in names:
-                lowest = i
-                if not all_:
-                    break
-            i -= 1
-        if lowest is not None:
-            del stack[lowest:]
+        """Closes the innermost element with one of the names, or the outermost, within the innermost element of the scope."""
+        own = [places[n] for n in names if places.get(n)]
+        if not own:
+            return
+        bound = max((places[n][-1] for n in scope if places.get(n)), default=0)
+        within = [x[bisect_right(x, bound)] if all_ else x[-1] for x in own if x[-1] > bound]
+        if within:
+            lowest = min(within) if all_ else max(within)
+            while len(stack) > lowest:
+                places[stack.pop().tag].pop()
 
     while at < end:
         begin = html.find("<", at)
@@ -135,10 +143,10 @@ def parsed(html: str) -> Node:
         top = stack[-1].tag
         if name in ("td", "th") and top in ("table", "thead", "tbody", "tfoot"):
             if top == "table":
-                _open(stack, Node("tbody"))
-            _open(stack, Node("tr"))
+                open_(Node("tbody"))
+            open_(Node("tr"))
         elif name == "tr" and top == "table":
-            _open(stack, Node("tbody"))
+            open_(Node("tbody"))
         node = Node(name, said)
         if name in VOID or (said.endswith("/") and name in ("svg", "path")):
             stack[-1].inner.append(node)
@@ -150,16 +158,10 @@ def parsed(html: str) -> Node:
             close_at = html.find(">", stop.start()) if stop else -1
             at = end if close_at < 0 else close_at + 1
         else:
-            _open(stack, node)
+            open_(node)
     return root
 
 
-def _open(stack: list[Node], node: Node) -> None:
-    stack[-1].inner.append(node)
-    if len(stack) < DEPTH:
-        stack.append(node)
-
-
 class Page:
     """Text under construction: what is written goes on the current line; breaks are kept until more text comes."""
 
@@ -185,7 +187,7 @@ class Page:
             self.lines += [""] * (self.breaks - 1)
             self.breaks = 0
         if not self.now:
-            lead = "".join(self.indent)
+            lead = "".join(self.indent[:LEVELS])
             if self.marker:
                 lead = lead[: len(lead) - len(self.marker)] + self.marker
                 self.marker = ""
@@ -236,7 +238,21 @@ def _number(value: str | None, usual: int) -> int:
     return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else usual
 
 
-def render(node: Node, page: Page, seen: bool = True, pre: bool = False, items: list | None = None) -> None:
+Step = tuple[Node, Page, bool, bool, list | None]
+
+
+def render(node: Node, page: Page) -> None:
+    """All visible text below a node. A step that comes to an element hands it over and goes on when it is done, so that depth costs no calls."""
+    running = [_steps(node, page, True, False, None)]
+    while running:
+        below = next(running[-1], None)
+        if below is None:
+            running.pop()
+        else:
+            running.append(_steps(*below))
+
+
+def _steps(node: Node, page: Page, seen: bool, pre: bool, items: list | None) -> Iterator[Step]:
     for x in node.inner:
         if isinstance(x, str):
             if not seen:
@@ -268,11 +284,11 @@ def render(node: Node, page: Page, seen: bool = True, pre: bool = False, items:
             page.block(2)
         elif tag == "table":
             page.block(2)
-            _table(x, page, shown)
+            yield from _table(x, page, shown)
             page.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(1 if items is not None else 2)
-            render(x, page, shown, pre, [tag == "ol", _number(said.get("start"), 1)])
+            yield x, page, shown, pre, [tag == "ol", _number(said.get("start"), 1)]
             page.block(1 if items is not None else 2)
         elif tag == "li":
             own = items or [False, 1]
@@ -283,27 +299,27 @@ def render(node: Node, page: Page, seen: bool = True, pre: bool = False, items:
             page.block(1)
             page.indent.append(" " * len(mark))
             page.marker = mark
-            render(x, page, shown, pre, [])
+            yield x, page, shown, pre, []
             page.marker = ""
             page.indent.pop()
             page.block(1)
         elif tag in ("dd", "blockquote"):
             page.block(1 if tag == "dd" else 2)
             page.indent.append("  ")
-            render(x, page, shown, pre)
+            yield x, page, shown, pre, None
             page.indent.pop()
             page.block(1 if tag == "dd" else 2)
         elif tag == "details" and "open" not in said:
             page.block(1)
             only = Node("details")
             only.inner = [y for y in x.inner if isinstance(y, Node) and y.tag == "summary"][:1]
-            render(only, page, shown, pre)
+            yield only, page, shown, pre, None
             page.block(1)
         else:
             gap = 2 if tag in SPACED else 1 if tag in LINED else 0
             if gap:
                 page.block(gap)
-            render(x, page, shown, pre or tag in ("pre", "textarea", "xmp"), None if gap == 2 else items)
+            yield x, page, shown, pre or tag in ("pre", "textarea", "xmp"), None if gap == 2 else items
             if gap:
                 page.block(gap)
 
@@ -332,10 +348,10 @@ def _rest(node: Node) -> Node:
     return out
 
 
-def _table(table: Node, page: Page, seen: bool) -> None:
+def _table(table: Node, page: Page, seen: bool) -> Iterator[Step]:
     rest = _rest(table)
     if rest.inner:
-        render(rest, page, seen)
+        yield rest, page, seen, False, None
         page.block(1)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column: rows for which a cell above still holds it
@@ -354,7 +370,7 @@ def _table(table: Node, page: Page, seen: bool) -> None:
                 column += 1
             wide, high = min(SPAN, max(1, _number(said.get("colspan"), 1))), max(1, _number(said.get("rowspan"), 1))
             inner = Page()
-            render(x, inner, shown)
+            yield x, inner, shown, False, None
             cells.append((column, wide, inner.done()))
             if high > 1:
                 for k in range(column, column + wide):

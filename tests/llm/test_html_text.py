@@ -45,6 +45,58 @@ def test_title_depth_and_long_input():
     assert H.extracted("<table>" + "<tr><td colspan=99999>x<td>y" * 50 + "</table>")[1].count("x") == 50
 
 
+@pytest.mark.parametrize("depth", [10, 300, 30_000])
+def test_hidden_text_stays_hidden_at_any_depth(depth):
+    assert H.extracted("<div>" * depth + "<div hidden>SECRET</div>seen<p style='display:none'>SECRET")[1] == "seen"
+    assert H.extracted("<ul><li>" * depth + "<p hidden>SECRET</p>x")[1].split()[-1] == "x"
+    assert H.extracted("<table><td><p>" + "<div>" * depth + "<span style='visibility:hidden'>SECRET</span>y")[1] == "y"
+
+
+def made(rng, depth=0):
+    """(html, lines) of a random tree, its lines by another way: from the tree itself, without any parsing."""
+    word = f"w{rng.randrange(1000)}"
+    kind = rng.choice(("text", "p", "div", "list", "hidden", "table", "inline", "pre") if depth < 3 else ("text", "inline", "hidden"))
+    if kind == "text":
+        return word, [word]
+    if kind == "inline":
+        return f"<b>{word}</b> <i>x</i>", [f"{word} x"]
+    if kind == "hidden":
+        return rng.choice(("<div hidden>{}</div>", "<script>{}</script>", "<p style='display: none'>{}</p>", "<!-- {} -->")).format(word), []
+    if kind == "pre":
+        return f"<pre>{word}\n  z</pre>", ["", word, "  z", ""]
+    if kind == "table":
+        rows = [[f"c{rng.randrange(10 ** rng.randint(1, 5))}" for _ in range(3)] for _ in range(rng.randint(1, 4))]
+        widths = [max(len(r[k]) for r in rows) for k in range(3)]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+        return html, ["", *("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows), ""]
+    inner = [made(rng, depth + 1) for _ in range(rng.randint(1, 3))]
+    if kind == "list":
+        html, lines = "<ul>", []
+        for _, (h, own) in enumerate(inner):
+            h, own = (h, own) if len(own) == 1 and "<" not in h else ("k", ["k"])
+            html += f"<li>{h}"
+            lines += [f"- {own[0]}"]
+        return html + "</ul>", ["", *lines, ""]
+    html = "".join(f"<div>{h}</div>" for h, _ in inner)
+    lines = [x for _, own in inner for x in own]
+    return (f"<section>{html}</section>", ["", *lines, ""]) if kind == "p" else (f"<div>{html}</div>", lines)
+
+
+def test_random_trees_against_another_rendering():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(400):
+        html, lines = made(rng)
+        want = []
+        for x in lines:
+            if x or (want and want[-1]):
+                want.append(x)
+        while want and not want[-1]:
+            want.pop()
+        assert H.extracted(html)[1] == "\n".join(want), html
+
+
 def test_all_visible_words_come_out_in_order():
     import random
 
