@@ -2,9 +2,10 @@
 
 Each source has a weight; targets are filled like water under a cap of ``max_repeat`` times what the source has. The
 targets are turned into whole blocks of ``block_tokens`` words: blocks go one by one to the source with the highest
-quotient target / (2 * blocks so far + 1). A source's documents stand in seeded random order, end to end; the mix
-takes its quota as one run of blocks of that circle from a seeded place, so that a document is taken whole, twice, or
-(at the two ends of the run) in part.
+quotient target / (2 * blocks so far + 1). A source's documents stand in seeded random order, end to end, cut into blocks that are dealt to ``N_SHARDS``
+shards in turn. Where the quota is the whole source and more, every shard takes all of its blocks once (or twice); what is left of the quota is spread over the shards in whole
+numbers, at most one apart (``shard_quotas``), and each shard takes its part from its own blocks, as many as its quota from a seeded one on. Less than a block, which is
+left over where a source's size isn't a multiple of the block, comes from the beginning of the next block that wasn't chosen.
 
 All is DataFrame functions. Running sums over a source go through 1024 ranges of the random order, so that a
 source with a third of all rows is summed by many tasks. Only tables of one row per source, and per source and
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.shared import written
 
 WEIGHTS = (5, 2, 1)
-#: Words of a block in the production mix.
-BLOCK = 16
+#: Words of a block in the production mix, and the shards over which a source's quota is spread.
+BLOCK, N_SHARDS = 16, 40
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,32 +94,53 @@ def quotas(goal: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def _first_shard(n_shards: int) -> Column:
+    """Where a source's odd blocks start: at the shard where those of the source before it ended."""
+    return F.coalesce(F.sum(F.pmod("blocks", F.lit(n_shards))).over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
 def shard_quotas(quota: DataFrame, n_shards: int) -> DataFrame:
     """source, shard, blocks: whole blocks per shard, at most one apart within a source; the odd blocks of
     each source start at the shard where those of the source before it ended."""
-    before = F.coalesce(F.sum(F.pmod("blocks", F.lit(n_shards))).over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return quota.withColumn("_at", before).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).select(
+    return quota.withColumn("_at", _first_shard(n_shards)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).select(
         "source", "shard",
         (F.floor(F.col("blocks") / n_shards) + F.when(F.pmod(F.col("shard") - F.col("_at"), F.lit(n_shards)) < F.pmod("blocks", F.lit(n_shards)), 1).otherwise(0)).cast("long").alias("blocks"),
     )
 
 
-def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeat: int = 2) -> DataFrame:
-    """doc_id, source, size, source_size, target, blocks (its source's quota), taken: one row per document."""
-    sizes = written(sized(docs, seed), "mix")
+def selections(quota: DataFrame, seed: int, block: int, max_repeat: int, n_shards: int) -> DataFrame:
+    """_source, source_size, target, blocks, _whole (times that all of it is taken), _picks (of each shard, from the first: how many of its blocks, n, are taken once more, taken, and
+    from which on, begin), _rest (words besides those) and _rest_at (where they begin). One row per source."""
     run = F.least(F.col("blocks") * block, max_repeat * F.col("source_size"))
-    quota = quotas(targets(sizes, weights, share, max_repeat), block).select(
-        F.col("source").alias("_source"), "source_size", "target", "blocks",
-        F.when(F.col("source_size") > 0, F.floor(run / F.col("source_size"))).otherwise(0).alias("_whole"),
-        F.when(F.col("source_size") > 0, run % F.col("source_size")).otherwise(0).alias("_run"),
-        F.when(F.col("source_size") > 0, F.floor(F.pmod(seeded(seed, F.col("source")), F.col("source_size")) / block) * block).otherwise(0).alias("_from"),
+    filled = F.col("source_size") > 0
+    each = quota.withColumn("_whole", F.when(filled, F.floor(run / F.col("source_size"))).otherwise(0)).withColumn("_left", F.when(filled, run % F.col("source_size")).otherwise(0))
+    each = each.select(
+        "source", "source_size", "target", F.col("blocks").alias("_quota"), "_whole", F.floor(F.col("_left") / block).alias("blocks"), (F.col("_left") % block).alias("_rest"), F.floor(F.col("source_size") / block).alias("_n")
+    ).withColumn("_at", F.pmod(_first_shard(n_shards), F.lit(n_shards)))
+    dealt = shard_quotas(each.select("source", "blocks"), n_shards).select(F.col("source").alias("_s"), "shard", F.col("blocks").alias("_taken"))
+    placed = each.join(dealt, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_pos", F.pmod(F.col("shard") - F.col("_at"), F.lit(n_shards)))
+    own = F.floor(F.col("_n") / n_shards) + F.when(F.col("_pos") < F.col("_n") % n_shards, 1).otherwise(0)
+    start = F.pmod(seeded(seed, F.concat_ws(":", F.coalesce("source", F.lit("null")), "shard")), F.greatest(own, F.lit(1)))
+    pick = F.struct(F.col("_pos").alias("pos"), own.cast("long").alias("n"), F.col("_taken").alias("taken"), start.alias("begin"))
+    picks = placed.groupBy("source", "source_size", "target", "_quota", "_whole", "blocks", "_rest", "_n").agg(F.array_sort(F.collect_list(pick)).alias("_picks"))
+    next_ = F.get("_picks", F.pmod("blocks", F.lit(n_shards)).cast("int"))  # the first shard that has a block it didn't take
+    place = F.pmod(next_["begin"] + next_["taken"], F.greatest(next_["n"], F.lit(1))) * n_shards + F.pmod("blocks", F.lit(n_shards))
+    return picks.select(
+        F.col("source").alias("_source"), "source_size", "target", F.col("_quota").alias("blocks"), "_whole", "_picks", "_rest",
+        (F.when(F.col("blocks") < F.col("_n"), place).otherwise(F.col("_n")) * block).alias("_rest_at"),
     )
+
+
+def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, max_repeat: int = 2, n_shards: int = N_SHARDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, blocks (its source's quota), taken: one row per document."""
+    sizes = written(sized(docs, seed), "mix")
+    quota = selections(quotas(targets(sizes, weights, share, max_repeat), block), seed, block, max_repeat, n_shards)
     ranged = sizes.withColumn("_range", F.shiftright("_order", 50).cast("int"))
     starts = (
         ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .join(quota, F.col("source").eqNullSafe(F.col("_source")))
-        .select("_source", F.col("_range").alias("_r"), "_base", "source_size", "target", "blocks", "_whole", "_run", "_from")
+        .select("_source", F.col("_range").alias("_r"), "_base", "source_size", "target", "blocks", "_whole", "_picks", "_rest", "_rest_at")
     )
     inside = W.partitionBy("source", "_range").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = (
@@ -127,13 +149,16 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, weights: tuple[int,
         .withColumn("_to", F.col("_base") + F.col("_end"))
         .withColumn("_at", F.col("_to") - F.col("size"))
     )
-    to = F.col("_from") + F.col("_run")
-    first = F.greatest(F.lit(0), F.least("_to", F.least(to, F.col("source_size"))) - F.greatest("_at", "_from"))
-    wrapped = F.greatest(F.lit(0), F.least(F.col("_to"), to - F.col("source_size")) - F.col("_at"))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "blocks",
-        (F.col("_whole") * F.col("size") + first + wrapped).cast("long").alias("taken"),
-    )
+    within = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_to"), hi) - F.greatest(F.col("_at"), lo))
+
+    def chosen(k: Column) -> Column:
+        pick = F.get("_picks", (k % n_shards).cast("int"))
+        return (k < F.floor(F.col("source_size") / block)) & (F.pmod(F.floor(k / n_shards) - pick["begin"], pick["n"]) < pick["taken"])
+
+    touched = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_to") - 1) / block))
+    picked = F.aggregate(touched, F.lit(0).cast("long"), lambda n, k: n + F.when(chosen(k), within(k * block, (k + 1) * block)).otherwise(0).cast("long"))
+    once = F.when(F.col("size") > 0, picked).otherwise(0) + within(F.col("_rest_at"), F.col("_rest_at") + F.col("_rest"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "blocks", (F.col("_whole") * F.col("size") + once).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:

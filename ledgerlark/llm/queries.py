@@ -67,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 MIXING_SQL = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+WITH sized AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
   CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS ord FROM documents),
 own AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM own),
@@ -81,12 +81,18 @@ seats AS (SELECT source, row_number() OVER (ORDER BY target / (2 * s.range + 1)
   FROM goals, (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM goals), range(100000) s WHERE s.range < n),
 blocks AS (SELECT g.source, source_size, target, coalesce(b, 0) AS blocks FROM goals g
   LEFT JOIN (SELECT source, count(*) AS b FROM seats WHERE place <= n GROUP BY source) q ON g.source IS NOT DISTINCT FROM q.source),
-runs AS (SELECT *, least(blocks * 16, 2 * source_size) // greatest(source_size, 1) AS whole, least(blocks * 16, 2 * source_size) % greatest(source_size, 1) AS run,
-  (CAST('0x' || substr(md5('42:' || coalesce(source, 'null')), 1, 15) AS BIGINT) % greatest(source_size, 1)) // 16 * 16 AS beg FROM blocks),
-placed AS (SELECT s.doc_id, s.size, r.*, sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS stop
-  FROM sized s JOIN runs r ON s.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(blocks AS BIGINT) AS blocks, CAST(whole * size
-  + greatest(0, least(stop, beg + run, source_size) - greatest(stop - size, beg)) + greatest(0, least(stop, beg + run - source_size) - (stop - size)) AS BIGINT) AS taken FROM placed
+runs AS (SELECT *, least(blocks * 16, 2 * source_size) // greatest(source_size, 1) AS whole, least(blocks * 16, 2 * source_size) % greatest(source_size, 1) AS rest FROM blocks),
+cut AS (SELECT *, rest // 16 AS r, rest % 16 AS odd, source_size // 16 AS b, coalesce(sum((rest // 16) % 40) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 40 AS first FROM runs),
+counts AS (SELECT source, r, b, pos, b // 40 + CASE WHEN pos < b % 40 THEN 1 ELSE 0 END AS n, r // 40 + CASE WHEN pos < r % 40 THEN 1 ELSE 0 END AS e, (pos + first) % 40 AS shard FROM cut, range(40) t(pos)),
+picks AS (SELECT *, CAST('0x' || substr(md5('42:' || coalesce(source, 'null') || ':' || CAST(shard AS BIGINT)), 1, 15) AS BIGINT) % greatest(n, 1) AS beg FROM counts),
+odds AS (SELECT c.*, CASE WHEN c.r < c.b THEN ((p.beg + p.e) % greatest(p.n, 1) * 40 + p.pos) * 16 ELSE c.b * 16 END AS odd_at FROM cut c JOIN picks p ON c.source IS NOT DISTINCT FROM p.source AND p.pos = c.r % 40),
+placed AS (SELECT s.row, s.doc_id, s.size, r.*, sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS stop
+  FROM sized s JOIN odds r ON s.source IS NOT DISTINCT FROM r.source),
+pieces AS (SELECT row, source, stop - size AS lo, stop, unnest(range(CAST((stop - size) // 16 AS BIGINT), CAST((stop - 1) // 16 + 1 AS BIGINT))) AS k FROM placed WHERE size > 0),
+taken AS (SELECT row, sum(least(stop, 16 * k + 16) - greatest(lo, 16 * k)) AS n FROM pieces x JOIN picks p ON x.source IS NOT DISTINCT FROM p.source AND k % 40 = pos
+  WHERE k < b AND ((k // 40 - beg) % n + n) % n < e GROUP BY row)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(blocks AS BIGINT) AS blocks,
+  CAST(whole * size + coalesce(n, 0) + greatest(0, least(stop, odd_at + odd) - greatest(stop - size, odd_at)) AS BIGINT) AS taken FROM placed LEFT JOIN taken USING (row)
 """
 
 _TEMPLATES = ", ".join(f"('{t}', '{label}')" for t, label in licenses.TEMPLATES.items())
