@@ -1,14 +1,14 @@
 """License scans: phrases by place, and templates by an exact set-similarity join. DataFrame functions only.
 
-A template is a set of words; a text block (a line) meets it if it holds at least ``THRESHOLD`` of the template's words. The join is
-exact and prunes by
+A template is a set of words. A text block is a line with the ``LINES`` - 1 lines after it, lines without words left out, so that a wording wrapped over them is whole in one block; it meets
+a template if it holds at least ``THRESHOLD`` of the template's words. The join is exact and prunes by
 
-* order: a template's words stand by ascending document frequency in the scanned corpus, ties by word;
-* prefix: a block that meets a template of n words at threshold m = ceil(THRESHOLD * n) misses at most n - m of them, so it holds one of the
-  n - m + 1 rarest; only blocks holding a prefix word are looked at again, joined to templates by that word;
-* length: such a block has at least m different words;
-* position: if the rarest prefix word that a block holds is the template's i-th, at most n - i of its words can be
-  held, which must not be below m.
+* order: the templates' words stand by ascending document frequency in the scanned corpus, ties by word, in templates and blocks alike (words of no
+  template can't be held in common and don't count);
+* prefix: a template of n words met at m = ceil(THRESHOLD * n) has one of its n - m + 1 rarest words in common with the block, and the block, of x such
+  words, has one of its x - m + 1 rarest in common with the template: only these are joined;
+* length: such a block has at least m words of templates;
+* position: if the first word in common is the template's i-th and the block's j-th, counted from 0, at most min(n - i, x - j) words are held in common, which must not be below m.
 
 The templates are a fixed table, so the side that is broadcast doesn't grow with the corpus; blocks are never joined to
 blocks.
@@ -49,9 +49,12 @@ TEMPLATES = {
     "all rights reserved no part of this publication may be reproduced": "all-rights-reserved",
 }
 THRESHOLD = 0.9
+#: Lines of a block.
+LINES = 3
 
 #: Between words, when A-Z count as letters.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,37 +114,60 @@ def prefix_words(known: Known) -> list[str]:
     return sorted({w for _, _, _, prefix in known for w in prefix})
 
 
-def joined_blocks(blocks: DataFrame, known: Known) -> DataFrame:
-    """The columns of ``blocks`` with label, overlap and share: one row for each block (in column ``block``, in normal form) and each
-    template that it meets."""
+def probed(blocks: DataFrame, known: Known, df: dict[str, int]) -> DataFrame:
+    """``blocks`` (column ``block``, in normal form) with each template (``label``, ``_template``, ``_least``) of which a prefix word is among their own prefix words: in the template's place ``_i`` and the block's
+    ``_j``. ``_tokens``: the block's words of templates in the global order."""
     table = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("_template"), F.lit(least).alias("_least"), F.lit(w).alias("_word"), F.lit(at).alias("_at"))
-        for label, words, least, prefix in known for at, w in enumerate(prefix)
+        F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("_template"), F.lit(least).alias("_least"), F.lit(w).alias("_word"), F.lit(i).alias("_i"))
+        for label, words, least, prefix in known for i, w in enumerate(prefix)
     ])
     templates = blocks.sparkSession.range(1).select(F.explode(table).alias("t")).select("t.*")
-    tokens = F.array_distinct(F.split(F.trim("block"), " "))
-    rarest = F.array_min(F.transform(F.array_intersect("_template", "_tokens"), lambda w: F.array_position(F.col("_template"), w)).cast("array<int>")) - 1
+    vocabulary = sorted({w for _, words, _, _ in known for w in words}, key=lambda w: (df.get(w, 0), w))
+    fewest = min(least for _, _, least, _ in known)
+    tokens = F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split(F.trim("block"), " "))
+    prefix = F.slice("_tokens", F.lit(1), F.greatest(F.lit(0), F.size("_tokens") - fewest + 1))
+    return blocks.withColumn("_tokens", tokens).select("*", F.posexplode(prefix).alias("_j", "_word")).join(F.broadcast(templates), "_word")
+
+
+def bounded(probes: DataFrame) -> DataFrame:
+    """The probes that can meet their template by length and position."""
+    x, n = F.size("_tokens"), F.size("_template")
+    return probes.filter((x >= F.col("_least")) & (F.least(n - F.col("_i"), x - F.col("_j")) >= F.col("_least")))
+
+
+def joined_blocks(blocks: DataFrame, known: Known, df: dict[str, int] | None = None) -> DataFrame:
+    """The columns of ``blocks`` with label, overlap and share: one row for each block and each template that it meets."""
     return (
-        blocks.withColumn("_tokens", tokens)
-        .withColumn("_word", F.explode(F.array_intersect("_tokens", F.array(*map(F.lit, prefix_words(known))))))
-        .join(F.broadcast(templates), "_word")
-        .filter((F.size("_tokens") >= F.col("_least")) & (F.size("_template") - F.col("_at") >= F.col("_least")))
-        .filter(F.col("_at") == rarest)
-        .withColumn("overlap", F.size(F.array_intersect("_template", "_tokens")))
+        bounded(probed(blocks, known, df or {}))
+        .withColumn("_common", F.array_intersect("_template", "_tokens"))
+        .filter(F.col("_word") == F.get("_common", F.lit(0)))  # once for each pair: at its first word in common
+        .withColumn("overlap", F.size("_common"))
         .filter(F.col("overlap") >= F.col("_least"))
         .withColumn("share", F.col("overlap") / F.size("_template"))
         .select(*blocks.columns, "label", "overlap", "share")
     )
 
 
+def blocks_of(text: Column, either: str) -> Column:
+    """The blocks of a text in which a line matches ``either``."""
+    def of(lines: Column) -> Column:
+        telling = F.transform(lines, lambda line: F.rlike(line, F.lit(f"(?i)({either})")))
+        block = lambda line, i: F.when(F.exists(F.slice(telling, i + 1, LINES), lambda x: x), F.array_join(F.slice(lines, i + 1, LINES), "\n"))
+        return F.filter(F.transform(lines, block), lambda x: x.isNotNull())
+
+    lines = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(LETTER)))
+    return F.get(F.transform(F.array(lines), of), F.lit(0))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per document.
 
-    score: the largest containment of a template's words in a line that meets it; 1 where a phrase stands, 0 where nothing is found. Two
-    passes over the texts: one for the frequencies, one that keeps what is counted and the lines of documents that hold a
+    score: the largest containment of a template's words in a block that meets it; 1 where a phrase stands, 0 where nothing is found. Two
+    passes over the texts: one for the frequencies, one that keeps what is counted and the blocks of documents that hold a
     prefix word.
     """
-    known = ordered(templates, frequencies(docs, templates), threshold)
+    df = frequencies(docs, templates)
+    known = ordered(templates, df, threshold)
     either = "|".join(prefix_words(known))
     phrases = "|".join(PHRASES)
     base = (
@@ -153,12 +179,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         .withColumn("_base", F.array_compact(F.array(*[F.when(F.contains(F.col("_normal"), F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items()])))
         .select(
             "doc_id", "_hash", word_count(F.col("_spaced")).alias("n_words"), "_places", "_base",
-            F.when(F.rlike("_spaced", F.lit(f"(?i) ({either}) ")), F.filter(F.split("_text", "\n"), lambda line: F.rlike(line, F.lit(f"(?i)({either})")))).alias("_lines"),
+            F.when(F.rlike("_spaced", F.lit(f"(?i) ({either}) ")), blocks_of(F.col("_text"), either)).alias("_lines"),
         )
     )
     base = written(base, "licenses")
     lines = base.filter("_lines is not null").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), F.explode("_lines").alias("_line"))
-    met = joined_blocks(lines.select("_id", "_h", normal(F.col("_line")).alias("block")), known)
+    met = joined_blocks(lines.select("_id", "_h", normal(F.col("_line")).alias("block")), known, df)
     per = met.groupBy("_id", "_h").agg(F.collect_set("label").alias("_found"), F.max("share").alias("_share"))
     out = base.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -105,7 +105,8 @@ LICENSES_SQL = f"""
 WITH low AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}') AS t FROM documents),
 worded AS (SELECT doc_id, r, t, regexp_extract_all(t, '{_WORDS}') AS w FROM low),
 based AS (SELECT doc_id, r, t, len(w) AS n_words, CASE WHEN t LIKE '%license%' OR t LIKE '%nc%' THEN {_PLACES} ELSE [] END AS places, {_BASE} AS base FROM worded),
-lines AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORDS}')) AS b FROM low WHERE regexp_matches(t, 'license|licensed|granted|compliance|redistribut|rights|mozilla')),
+filled AS (SELECT r, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{_WORDS}')] AS own FROM low WHERE regexp_matches(t, 'license|licensed|granted|compliance|redistribut|rights|mozilla')),
+lines AS (SELECT r, list_distinct(regexp_extract_all(unnest([array_to_string(own[i:i + 2], chr(10)) FOR i IN range(1, len(own) + 1)]), '{_WORDS}')) AS b FROM filled),
 templates AS (SELECT label, list_distinct(string_split(t, ' ')) AS words FROM (VALUES {_TEMPLATES}) AS v(t, label)),
 met AS (SELECT r, label, len(list_intersect(words, b)) / len(words) AS share FROM lines, templates WHERE len(list_intersect(words, b)) >= {licenses.THRESHOLD} * len(words) - 1e-9),
 per AS (SELECT r, list(DISTINCT label) AS found, max(share) AS share FROM met GROUP BY r)

@@ -26,8 +26,9 @@ def brute(text):
         places += at
         base |= {label} if at else set()
     share, met = 0.0, set()
-    for line in (text or "").split("\n"):
-        block = set(words(line))
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    for i in range(len(lines)):
+        block = set(words("\n".join(lines[i : i + L.LINES])))
         for t, label in L.TEMPLATES.items():
             template = set(t.split())
             if len(template & block) >= L.THRESHOLD * len(template) - 1e-9:
@@ -81,3 +82,48 @@ def test_join_of_blocks(spark):
     blocks = spark.createDataFrame([(1, " a b c d "), (2, " a b "), (3, " e c d b "), (4, " a c "), (5, "  ")], "row int, block string")
     got = sorted((r.row, r.label, r.overlap, r.share) for r in L.joined_blocks(blocks, known).collect())
     assert got == [(1, "five", 4, pytest.approx(0.8)), (1, "two", 2, 1.0), (2, "two", 2, 1.0), (3, "five", 4, pytest.approx(0.8))]
+
+
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this"""
+
+
+def test_wrapped_license_texts(spark):
+    data = [(i, f"x y\n\n{t}\nmore", "", "") for i, t in enumerate((MIT, BSD, GPL, MPL))]
+    assert [(r[6], r[7]) for r in same(spark, data)] == [("mit", 1.0), ("bsd", 1.0), ("gpl", 1.0), ("mpl-2", 1.0)]
+
+
+def test_length_and_position_drop_rows(spark):
+    templates = {"a b c d e f g h i j": "ten", "p q": "two"}
+    df = {w: k for k, w in enumerate("p q a b c d e f g h i j".split())}
+    known = L.ordered(templates, df, 0.8)
+    data = [(1, " a b c d e f g h "), (2, " a b "), (3, " p q a b c d e f "), (4, " p q a b c d e f g h "), (5, " c d e f g h i j ")]
+    probes = L.probed(spark.createDataFrame(data, "row int, block string"), known, df)
+    long_enough = probes.filter("size(_tokens) >= _least")
+    left = L.bounded(probes)
+    key = lambda rows: {(r.row, r.label) for r in rows.collect()}
+    assert (2, "ten") in key(probes) - key(long_enough)  # by length
+    assert (3, "ten") in key(long_enough) - key(left)  # by position
+    got = L.joined_blocks(spark.createDataFrame(data, "row int, block string"), known, df).collect()
+    assert sorted((r.row, r.label, r.overlap) for r in got) == [(1, "ten", 8), (3, "two", 2), (4, "ten", 8), (4, "two", 2), (5, "ten", 8)]
+
+
+def test_random_blocks_against_all_pairs(spark):
+    rng = random.Random(11)
+    pool = [f"w{i}" for i in range(30)]
+    templates = {" ".join(rng.sample(pool, rng.randint(1, 14))): f"t{i}" for i in range(12)}
+    df = {w: rng.randint(0, 9) for w in pool}
+    known = L.ordered(templates, df, 0.7)
+    data = [(i, f" {' '.join(rng.choice(pool) for _ in range(rng.randint(0, 25)))} ") for i in range(300)]
+    got = sorted((r.row, r.label, r.overlap) for r in L.joined_blocks(spark.createDataFrame(data, "row int, block string"), known, df).collect())
+    want = sorted((i, label, n) for i, b in data for t, label in templates.items() if (n := len(set(t.split()) & set(b.split()))) >= 0.7 * len(set(t.split())) - 1e-9)
+    assert got == want and len(want) > 100
