@@ -1,12 +1,13 @@
 """Sharding over fixed virtual slots.
 
 Every record is hashed into one of ``SLOTS`` slots that never change. The bytes of each slot are summed, and a small
-versioned map says which shard holds which slot; moving data means editing that map, never rehashing records.
+versioned map, stored as Parquet, says which shard holds which slot; moving data means editing that map, never rehashing records. The first run over a path stores version 1, and
+every run takes its shards from the latest version that is stored; for more shards it stores an edited version, in which slots move to the new shards only.
 Everything that touches records is DataFrame functions; only the map (``SLOTS`` rows at any input size) is handled
 on the driver.
 
 Law: ``bytes``. Equal texts hash to the same slot and so share a shard, except a group of copies that alone exceeds
-half a shard's fair share: its rows are dealt over all slots by ``doc_id``, so that no group overloads a shard.
+half a shard's fair share: its rows are dealt over all slots by ``doc_id``, so that no group overloads a shard. Which groups are, is stored with the map.
 
 Nulls: a null text has no bytes and hashes as such; a null ``doc_id`` is kept. Repeated rows each get a place. An empty table gives
 an empty result. Columns other than ``doc_id`` and ``text`` are not read.
@@ -17,10 +18,13 @@ from __future__ import annotations
 import heapq
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.shared import fresh_path
+
 #: Virtual slots: fixed for the life of a corpus.
 SLOTS = 8192
 #: Bytes counted for a record besides its text.
@@ -43,17 +47,22 @@ def slim(docs: DataFrame) -> DataFrame:
     )
 
 
-def slotted(records: DataFrame, n_shards: int, slots: int = SLOTS) -> DataFrame:
-    """Adds ``virtual_slot``. Two bounded looks at the sums find the groups that must be dealt over all slots: the slots above half
+def hot_groups(records: DataFrame, n_shards: int, slots: int = SLOTS) -> list[int]:
+    """The text hashes of groups of copies that alone exceed half a shard's fair share: fewer than 2 * n_shards. Two bounded looks at the sums find them: the slots above half
     a fair share (fewer than 2 * n_shards), then the texts in them that are themselves above it."""
     plain = F.pmod(F.col("_text"), F.lit(slots))
     sums = {r["s"]: r["b"] for r in records.groupBy(plain.alias("s")).agg(F.sum("size").alias("b")).collect()}
     half = sum(sums.values()) / n_shards / 2
     heavy = [s for s, b in sums.items() if b > half]
-    hot = []
-    if heavy:
-        groups = records.filter(plain.isin(heavy)).groupBy("_text").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-        hot = [r["_text"] for r in groups.filter((F.col("b") > half) & (F.col("n") > 1)).collect()]
+    if not heavy:
+        return []
+    groups = records.filter(plain.isin(heavy)).groupBy("_text").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    return sorted(r["_text"] for r in groups.filter((F.col("b") > half) & (F.col("n") > 1)).collect())
+
+
+def slotted(records: DataFrame, hot: list[int], slots: int = SLOTS) -> DataFrame:
+    """Adds ``virtual_slot``: by the text's hash, of hot groups also by doc_id."""
+    plain = F.pmod(F.col("_text"), F.lit(slots))
     slot = F.when(F.col("_text").isin(hot), F.pmod(F.xxhash64("_text", "doc_id"), F.lit(slots))).otherwise(plain) if hot else plain
     return records.withColumn("virtual_slot", slot.cast("int"))
 
@@ -108,21 +117,51 @@ def rebalanced(placed: list[int], sums: dict[int, tuple[int, int]], n_shards: in
     return placed
 
 
-def save_map(spark: SparkSession, placed: list[int], path: str, version: int) -> None:
-    """Stores one version of the map; earlier versions stay readable."""
-    spark.range(len(placed)).select(F.col("id").cast("int").alias("slot"), _element(placed, F.col("id")).cast("int").alias("shard")).coalesce(1).write.parquet(f"{path}/version={version}")
+def save_map(spark: SparkSession, placed: list[int], path: str, version: int, hot: list[int] | None = None) -> None:
+    """Stores one version of the map, and of the hot groups; earlier versions stay readable."""
+    rows = spark.range(len(placed)).select(F.col("id").cast("int").alias("slot"), _element(placed, F.col("id")).cast("int").alias("shard"), F.lit(None).cast("long").alias("hot"))
+    groups = spark.createDataFrame([(h,) for h in hot or []], "hot long").select(F.lit(None).cast("int").alias("slot"), F.lit(None).cast("int").alias("shard"), "hot")
+    rows.unionByName(groups).coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
-    return [r["shard"] for r in spark.read.parquet(f"{path}/version={version}").orderBy("slot").collect()]
+    return [r["shard"] for r in spark.read.parquet(f"{path}/version={version}").filter("slot is not null").orderBy("slot").collect()]
+
+
+def load_hot(spark: SparkSession, path: str, version: int) -> list[int]:
+    return sorted(r["hot"] for r in spark.read.parquet(f"{path}/version={version}").filter("hot is not null").collect())
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The number of the last version stored below the path, 0 if there is none."""
+    try:
+        return spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+    except AnalysisException:  # nothing was stored there yet
+        return 0
+
+
+def stored_map(records: DataFrame, path: str, n_shards: int, slots: int = SLOTS) -> tuple[DataFrame, dict[int, tuple[int, int]], list[int]]:
+    """The slotted records, their slots' sums and the map as the latest stored version has it. Stores the first one, or an edited one if there are more shards or further hot groups than it knows."""
+    spark = records.sparkSession
+    version = latest_version(spark, path)
+    known = load_hot(spark, path, version) if version else []
+    hot = sorted({*known, *hot_groups(records, n_shards, slots)})
+    own = slotted(records, hot, slots)
+    sums = slot_sums(own)
+    placed = load_map(spark, path, version) if version else []
+    if not version:
+        save_map(spark, first_map(sums, n_shards, slots), path, 1, hot)
+    elif n_shards > max(placed) + 1:
+        save_map(spark, rebalanced(placed, sums, n_shards), path, version + 1, hot)
+    elif hot != known:
+        save_map(spark, placed, path, version + 1, hot)
+    return own, sums, load_map(spark, path, latest_version(spark, path))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the record's place in its shard, gapless from 0), grown_shard (null
-    under this law), virtual_slot."""
-    records = slotted(slim(docs), n_shards, slots)
-    sums = slot_sums(records)
-    placed = first_map(sums, n_shards, slots)
+    under this law), virtual_slot. ``path``: where the versions of the map are stored; by default a new one in the shared folder."""
+    records, sums, placed = stored_map(slim(docs), path or fresh_path(docs.sparkSession, "slot-map"), n_shards, slots)
     before, filled = [0] * slots, [0] * n_shards
     for slot in range(slots):
         before[slot] = filled[placed[slot]]

@@ -1,3 +1,4 @@
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -64,3 +65,48 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
     sharding.save_map(spark, first, path, 1)
     sharding.save_map(spark, grown, path, 2)
     assert sharding.load_map(spark, path, 1) == first and sharding.load_map(spark, path, 2) == grown
+
+
+def brute(data, n, slots=sharding.SLOTS):
+    """doc_id, text, shard by plain Python: slots by hash, the heaviest slot first to the lightest shard."""
+    import xxhash
+
+    size = lambda t: len((t or "").encode()) + 16
+    slot = {t: xxhash.xxh64_intdigest(t.encode(), seed=42) for t in {d[1] for d in data}}
+    slot = {t: (h - 2**64 if h >= 2**63 else h) % slots for t, h in slot.items()}
+    sums = defaultdict(int)
+    for d in data:
+        sums[slot[d[1]]] += size(d[1])
+    load, placed = [(0, k) for k in range(n)], {}
+    for s in sorted(sums, key=lambda s: (-sums[s], s)):
+        least, k = heapq.heappop(load)
+        placed[s] = k
+        heapq.heappush(load, (least + sums[s], k))
+    return sorted((d[0], placed[slot[d[1]]]) for d in data)
+
+
+def test_against_brute_force(spark):
+    data = [(i, f"t{i * 37 % 500} " + "ü" * (i * 13 % 400), "s", 1, "") for i in range(1500)]
+    assert sorted((r.doc_id, r.shard) for r in sharding.shard_documents(rows(spark, data), 12).collect()) == brute(data, 12)
+
+
+def test_a_stored_map_is_kept_and_edited(spark, tmp_path):
+    path = str(tmp_path / "slots")
+    data = [(i, f"text {i}", "s", 1, "") for i in range(3000)]
+    placed = lambda data, n: {r.doc_id: r.shard for r in sharding.shard_documents(rows(spark, data), n, path=path).collect()}
+    first = placed(data, 8)
+    more = placed(data + [(i, f"text {i} and more", "s", 1, "") for i in range(3000, 4000)], 8)
+    assert all(more[i] == first[i] for i in first) and sharding.latest_version(spark, path) == 1
+    grown = placed(data, 9)
+    moved = [i for i in first if grown[i] != first[i]]
+    assert moved and all(grown[i] == 8 for i in moved) and sharding.latest_version(spark, path) == 2
+    assert sharding.load_map(spark, path, 1) != sharding.load_map(spark, path, 2) and placed(data, 9) == grown
+    hot = [(i, "the same", "s", 1, "") for i in range(5000, 9000)]
+    check(sharding.shard_documents(rows(spark, data + hot), 9, path=path).collect(), data + hot, 9)
+    assert sharding.latest_version(spark, path) == 3 and len(sharding.load_hot(spark, path, 3)) == 1 and placed(data, 9) == grown
+
+
+def test_one_repeated_row_is_a_third_of_all(spark):
+    data = [(i, f"text {i}", "s", 1, "") for i in range(600)] + [(7, "again", "s", 1, "")] * 300
+    shards = check(sharding.shard_documents(rows(spark, data), 5).collect(), data, 5)
+    assert sum(len(x) for x in shards.values()) == 900
