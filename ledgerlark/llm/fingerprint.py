@@ -5,7 +5,7 @@ paragraphs' vectors, so it doesn't depend on their order, and a paragraph is ins
 subtracting its vector. The vector has two parts:
 
 * 64 lanes modulo 2**32, the paragraph's SHAKE-128 output: for equality;
-* 256 lanes modulo 2**16, the paragraph's runs of three words, each counted up or down in one lane: the squared
+* 256 lanes modulo 2**32, the paragraph's runs of three words, each counted up or down in one lane: the squared
   length of a difference of two such sums estimates how many runs differ (standard error about 9 %), for likeness.
 
 Nulls: a null text is an empty one; it has no paragraph, and its fingerprint is all zeros. Rows with a null doc_id come after the others,
@@ -32,8 +32,8 @@ NEWLINE = 10
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of each text's sum: uint32 of (texts, EXACT) and uint16 of (texts, LIKE)."""
-    exact, like = np.zeros((len(texts), EXACT), dtype=np.uint32), np.zeros((len(texts), LIKE), dtype=np.uint16)
+    """The two parts of each text's sum: uint32 of (texts, EXACT) and of (texts, LIKE)."""
+    exact, like = np.zeros((len(texts), EXACT), dtype=np.uint32), np.zeros((len(texts), LIKE), dtype=np.uint32)
     packed = [t.encode() for t in texts]
     for a, b, data, offsets in textpack.chunks(pa.array(packed, type=pa.binary()).cast(pa.string())):
         digests, counts = [], np.zeros(b - a, dtype=np.int64)
@@ -54,17 +54,17 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lane = (runs & np.uint64(LIKE - 1)).astype(np.int64)
             sign = 1.0 - 2.0 * ((runs >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
             sums = np.bincount(text * LIKE + lane, weights=sign, minlength=(b - a) * LIKE)
-            like[a:b] = sums.astype(np.int64).astype(np.uint16).reshape(-1, LIKE)
+            like[a:b] = sums.astype(np.int64).astype(np.uint32).reshape(-1, LIKE)
     return exact, like
 
 
 def encoded(exact: np.ndarray, like: np.ndarray) -> str:
-    return base64.b64encode(exact.astype("<u4").tobytes() + like.astype("<u2").tobytes()).decode()
+    return base64.b64encode(exact.astype("<u4").tobytes() + like.astype("<u4").tobytes()).decode()
 
 
 def decoded(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 4 * EXACT], dtype="<u4"), np.frombuffer(raw[4 * EXACT :], dtype="<u2")
+    return np.frombuffer(raw[: 4 * EXACT], dtype="<u4"), np.frombuffer(raw[4 * EXACT :], dtype="<u4")
 
 
 def fingerprint(text: str | None) -> str:
@@ -89,7 +89,7 @@ def _empty() -> np.ndarray:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Row by row, 0 to 1: 1 for equal fingerprints, about the share of runs of words in common otherwise."""
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     both = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):

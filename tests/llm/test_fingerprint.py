@@ -61,3 +61,7 @@ def test_likeness():
     full, half = " ".join(words), " ".join(words[:200] + [f"other{i}" for i in range(200)])
     assert like(full, full) == 1.0 and abs(like(full, half) - 0.5) < 0.2
     assert like(full, " ".join(f"x{i}" for i in range(400))) < 0.25 and like("", "") == 1.0 and like("", full) == 0.0
+
+
+def test_likeness_of_very_repetitive_texts():
+    assert like("w " * 40_000, "w " * 30_000) > 0.9 and like("w " * 20_000, "w " * 15_000) > 0.9 and like("w x " * 70_000, "y z " * 70_000) < 0.1
