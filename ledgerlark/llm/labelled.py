@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import textpack
+from ledgerlark.llm.shared import written
 
 #: Hash buckets of a model: 2**BITS weights.
 BITS = 18
 FOLDS = 5
+#: Most features, each with its count, of all sampled documents together: 8 bytes each on the driver.
+FEATURES = 1 << 24
 #: Grain of the hash by which rows are drawn for a sample.
 GRAIN = 1 << 30
 
@@ -39,8 +42,9 @@ Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def sample_features(docs: DataFrame, ids: DataFrame, extract: Extract) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(doc_id, y, feature, count) of the sampled documents, on the driver. ``ids`` (doc_id, y) is a bounded sample, so that its
-    broadcast and what comes back are bounded: a document has at most 2**BITS different features. Of rows with one doc_id, one is learnt from."""
+    """(doc_id, y, feature, count) of the sampled documents, on the driver, by doc_id. ``ids`` (doc_id, y) is a bounded sample, so that its
+    broadcast is bounded. Of rows with one doc_id, one is learnt from, chosen before anything comes to the driver; and if the sample has more than ``FEATURES`` features, only as many of its documents,
+    by a hash of doc_id, as have no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,9 +57,15 @@ def sample_features(docs: DataFrame, ids: DataFrame, extract: Extract) -> list[t
                     names=["doc_id", "y", "feature", "count"],
                 )
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, feature binary, count binary").collect()
-    once = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["feature"]))}
-    return [(k, r["y"], np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["count"], "<i4")) for k, r in once.items()]
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, feature binary, count binary")
+    one = written(found.groupBy("doc_id").agg(F.max(F.struct("feature", "count", "y")).alias("x")).select("doc_id", "x.*", F.xxhash64("doc_id").alias("drawn")), "sample")
+    size = (F.octet_length("feature") / 4).cast("long")
+    if (one.agg(F.sum(size)).first()[0] or 0) > FEATURES:
+        sizes = sorted((r["drawn"], r["n"]) for r in one.select("drawn", size.alias("n")).collect())
+        kept = int(np.searchsorted(np.cumsum([n for _, n in sizes]), FEATURES, "right"))
+        one = one.filter(F.col("drawn") < sizes[kept][0])
+    rows = sorted(one.collect(), key=lambda r: r["doc_id"])
+    return [(r["doc_id"], r["y"], np.frombuffer(r["feature"], "<i4"), np.frombuffer(r["count"], "<i4")) for r in rows]
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float) -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 
@@ -128,3 +130,89 @@ def test_a_marker_of_most_positives_is_not_taken_for_a_common_word():
     row = lambda i, toxic: np.array([7] * toxic + [1000 + i % 50, 9], dtype=np.int64)
     model = toxicity.fitted([row(i, True) for i in range(60)], [row(i, i % 10 == 0) for i in range(180)], 0.1)
     assert model.used[7] and model.weights[7] > 0 and not model.used[9]
+
+
+def plain_ftrl(rows):
+    """FTRL-proximal, one weight at a time."""
+    z, n, bias = defaultdict(float), defaultdict(float), -1
+
+    def weight(i):
+        l1, l2 = (0.0, 0.0) if i == bias else (quality.L1, quality.L2)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + l2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(quality.SEED + epoch).permutation(len(rows)):
+            _, y, at, count = rows[k]
+            x = {int(i): c / math.sqrt(max(sum(map(int, count)), 1)) for i, c in zip(at, count)} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in n}, weight(bias)
+
+
+def test_ftrl_equals_a_plain_one():
+    docs, labels = make(80)
+    rows = []
+    for i, text, *_ in docs:
+        a = np.frombuffer(text.encode(), np.uint8)
+        rows.append((i, labels[i][1], *np.unique(quality.features(a, np.array([0, len(a)]))[0], return_counts=True)))
+    model = quality.fitted(rows)
+    want, bias = plain_ftrl(rows)
+    assert math.isclose(model.bias, bias, rel_tol=1e-6) and all(abs(model.weights[i] - w) < 1e-5 for i, w in want.items() if i >= 0)
+
+
+def plain_nnpu(positive, unlabelled, prior):
+    """Non-negative PU descent, one row and one weight at a time; features are those that ``fitted`` uses."""
+    s = lambda x: 1 / (1 + math.exp(-x))
+    total, base = defaultdict(float), 0.0
+    for model in range(toxicity.MODELS):
+        rng = np.random.default_rng(toxicity.SEED + model)
+        w, m, b, mb = defaultdict(float), defaultdict(float), math.log(prior / (1 - prior)), 0.0
+        for _ in range(toxicity.EPOCHS):
+            pos, unl = [positive[i] for i in rng.permutation(len(positive))], [unlabelled[i] for i in rng.permutation(len(unlabelled))]
+            f = lambda row: b + sum(w[i] for i in row) / math.sqrt(1 + len(row))
+            fp, fu = [f(r) for r in pos], [f(r) for r in unl]
+            negative = sum(math.log1p(math.exp(x)) for x in fu) / len(fu) - prior * sum(math.log1p(math.exp(x)) for x in fp) / len(fp)
+            gp = [prior * (s(x) / len(fp) if negative < 0 else (s(x) - 1) / len(fp) - s(x) / len(fp)) for x in fp]
+            gu = [(-1 if negative < 0 else 1) * s(x) / len(fu) for x in fu]
+            g = defaultdict(float)
+            for row, d in [*zip(pos, gp), *zip(unl, gu)]:
+                for i in row:
+                    g[i] += d / math.sqrt(1 + len(row))
+            for i in {*g, *w}:
+                m[i] += 0.1 * (g[i] + toxicity.DECAY * w[i] - m[i])
+                w[i] -= toxicity.RATE * m[i]
+            mb += 0.1 * (sum(gp) + sum(gu) - mb)
+            b -= toxicity.BIAS_RATE * mb
+        for i in w:
+            total[i] += w[i] / toxicity.MODELS
+        base += b / toxicity.MODELS
+    margins = [base + sum(total[i] for i in r) / math.sqrt(1 + len(r)) for r in unlabelled]
+    return total, base - float(np.quantile(margins, 1 - toxicity.SHARE * prior))
+
+
+def test_nnpu_equals_a_plain_one():
+    rng = random.Random(2)
+    row = lambda marks: np.unique(np.array(marks + [100 + rng.randrange(12) for _ in range(3)], dtype=np.int64))
+    positive, unlabelled = [row([7]) for _ in range(20)], [row([7] if i % 10 == 0 else [9] if i % 9 == 0 else []) for i in range(50)]
+    model = toxicity.fitted(positive, unlabelled, 0.15)
+    keep = lambda rows: [[int(i) for i in r if model.used[i]] for r in rows]
+    want, bias = plain_nnpu(keep(positive), keep(unlabelled), 0.15)
+    assert math.isclose(model.bias, bias, rel_tol=1e-4, abs_tol=1e-4) and all(abs(model.weights[i] - w) < 1e-3 for i, w in want.items())
+
+
+def test_the_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
+    docs, labels = make(300)
+    again = [(3, f"other {i % 7} text", "en", "s", 1, 0.0) for i in range(500)]
+    d, y = frames(spark, docs + again, labels)
+    ids = labelled.training_labels(y, "quality")
+    rows = labelled.sample_features(d, ids, quality.features)
+    assert len(rows) == len({r[0] for r in rows}) == ids.count() and [r[0] for r in rows] == sorted(r[0] for r in rows)
+    once = {r[0]: r[2].tolist() for r in rows}
+    total = sum(len(r[2]) for r in rows)
+    monkeypatch.setattr(labelled, "FEATURES", total // 2)
+    fewer = labelled.sample_features(d, ids, quality.features)
+    assert total / 4 < sum(len(r[2]) for r in fewer) <= total // 2 and all(once[r[0]] == r[2].tolist() for r in fewer)
