@@ -1,15 +1,15 @@
-"""Scalar functions, Column in and Column out, that stay in the JVM (but for ``html_unescaped``)."""
+"""Scalar functions, Column in and Column out, that stay in the JVM."""
 
 from __future__ import annotations
 
+import mimetypes
 import unicodedata
 from collections.abc import Callable
 from functools import cache, reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as Python's str.split() sees it.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -31,12 +31,29 @@ def blank(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def html_unescaped(values: pd.Series) -> pd.Series:
-    """All HTML character references resolved."""
-    import html
+@cache
+def _references() -> tuple[str, Column]:
+    """The pattern of a character reference, and a map of the named ones, as HTML lists them; some are also known without their semicolon."""
+    bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+    return rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{bare}))", F.create_map(*[F.lit(x) for pair in sorted(html5.items()) for x in pair])
+
+
+def html_unescaped(c: Column | str) -> Column:
+    """All HTML character references resolved; a text without one costs one look."""
+    pattern, named = _references()
+
+    def resolved(ref: Column) -> Column:
+        code = F.when(F.rlike(ref, F.lit("^&#[xX]")), F.conv(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)).when(F.startswith(ref, F.lit("&#")), F.regexp_extract(ref, "[0-9]+", 0)).try_cast("bigint")
+        legal = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
+        old = F.decode(F.unhex(F.lpad(F.hex(legal), 2, "0")), "windows-1252")
+        sign = F.when(legal.between(0x80, 0x9F), old).otherwise(F.decode(F.unhex(F.lpad(F.hex(legal), 8, "0")), "UTF-32"))
+        return F.when(F.startswith(ref, F.lit("&#")), sign).otherwise(F.coalesce(F.try_element_at(named, F.substring(ref, F.lit(2), F.length(ref))), ref))
+
+    def joined(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(resolved(F.get(found, i)), F.lit("")))), "")
 
-    return values.map(html.unescape, na_action="ignore")
+    return F.when(F.contains(col(c), F.lit("&")), joined(col(c))).otherwise(col(c))
 
 
 def spaced(c: Column | str) -> Column:
@@ -225,17 +242,31 @@ def within(a: Column, b: Column, tolerance: int = 1) -> Column:
 IMAGES = [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
 
 
+@cache
+def guessed_suffixes() -> dict[str, list[str]]:
+    """File suffixes by the media type that Python's registry guesses from them: of images, of text, and of the readers' own types."""
+    out: dict[str, list[str]] = {"image": [], "text": [], "xml": [], "json": [], "pdf": []}
+    own = {"application/xml": "xml", "text/xml": "xml", "application/json": "json", "application/pdf": "pdf"}
+    for suffix, media in sorted(mimetypes.MimeTypes(filenames=()).types_map[True].items()):
+        kind = own.get(media) or media.split("/")[0]
+        if kind in out:
+            out[kind].append(suffix)
+    return out
+
+
 def reader(path: Column | str, media: Column | str | None = None, use_ocr: Column | bool = False) -> Column:
-    """Which reader takes a file: xml, json, pdf, image, text, or unknown (image if OCR is asked for). Suffix or media type decides, in that order of readers."""
+    """Which reader takes a file: xml, json, pdf, image, text, or unknown (image if OCR is asked for). Suffix or media type decides, in that order of readers; without a media type, the one
+    guessed from the name."""
     suffix = F.lower(F.regexp_extract(col(path), r"(\.[^./\\]+)$", 1))
     kind = F.coalesce(col(media), F.lit("")) if media is not None else F.lit("")
     ocr = F.lit(use_ocr) if isinstance(use_ocr, bool) else use_ocr
+    guess = lambda name: (kind == "") & suffix.isin(*guessed_suffixes()[name])
     return (
-        F.when((suffix == ".xml") | kind.isin("application/xml", "text/xml"), "xml")
-        .when((suffix == ".json") | (kind == "application/json"), "json")
-        .when((suffix == ".pdf") | (kind == "application/pdf"), "pdf")
-        .when(kind.startswith("image/") | suffix.isin(*IMAGES), "image")
-        .when(suffix.isin(".txt", ".csv") | kind.startswith("text/"), "text")
+        F.when((suffix == ".xml") | kind.isin("application/xml", "text/xml") | guess("xml"), "xml")
+        .when((suffix == ".json") | (kind == "application/json") | guess("json"), "json")
+        .when((suffix == ".pdf") | (kind == "application/pdf") | guess("pdf"), "pdf")
+        .when(kind.startswith("image/") | suffix.isin(*IMAGES) | guess("image"), "image")
+        .when(suffix.isin(".txt", ".csv") | kind.startswith("text/") | guess("text"), "text")
         .when(ocr, "image")
         .otherwise("unknown")
     )

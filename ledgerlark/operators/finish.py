@@ -1,6 +1,6 @@
 """Pages to finished invoices: texts and tables of a document become its fields, lines, totals, rates and warnings.
 
-Everything meets by document: one aggregation of pages, one of table rows, one of findings. No step looks across documents.
+Everything meets by document: one aggregation of pages, one of what tables state, one of lines, which also finds what speaks against them. No step looks across documents.
 """
 
 from __future__ import annotations
@@ -26,46 +26,49 @@ def first_filled(own: Column, other: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(other)
 
 
-def _warned(lines: DataFrame) -> DataFrame:
-    return lines.filter("unclear").select("doc_id", F.lit("R12").alias("rule"))
-
-
-def finished(pages: DataFrame, rows: DataFrame) -> DataFrame:
+def finished(pages: DataFrame, rows: DataFrame, other_lines: DataFrame | None = None) -> DataFrame:
     """doc_id, number, issued, the three totals, rates, lines, warnings.
 
-    ``pages``: doc_id, page, text. ``rows``: doc_id, table_no, row_idx, cells. Totals stated in tables override those found in the text; a rate that stands alone in a document
-    without rate rows is spread over its lines; the only line takes the whole tax if its amount is the subtotal; warnings are rule numbers, each once.
+    ``pages``: doc_id, page, text. ``rows``: doc_id, table_no, row_idx, cells, and perhaps where they come from (page, method, confidence, bbox). Totals stated in tables override those found in the text; if the text's rate
+    labels state one rate and no rate rows were read, it is the rate of the goods lines that have none, and of one rate row if subtotal and tax are known; the only goods line takes the whole tax if its amount is the
+    subtotal; warnings are rule numbers, each once. ``other_lines`` (doc_id, and the columns of lines) are used for documents whose tables gave no line.
     """
-    texts = labels.text_documents(joined_pages(pages))
-    keyed = rows.select(F.struct("doc_id", "table_no").alias("table_id"), "row_idx", "cells")
-    lines = tables.items(keyed).select("table_id.doc_id", "table_id.table_no", "row_idx", *tables.FIELDS, "TChat", "unclear")
+    texts = labels.with_documents(joined_pages(pages))
+    origin = [c for c in ("page", "method", "confidence", "bbox") if c in rows.columns]
+    keyed = rows.select(F.struct("doc_id", "table_no").alias("table_id"), "row_idx", "cells", *origin)
+    sourced = ["ExtractionSource", "TTKhac"] if "page" in origin else []
+    lines = tables.items(keyed).select("table_id.doc_id", "table_id.table_no", "row_idx", *tables.FIELDS, "TChat", "unclear", *sourced)
+    if other_lines is not None:
+        lines = lines.unionByName(other_lines.join(lines.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True)
     stated = tables.totals(keyed).select("table_id.doc_id", "table_id.table_no", *TOTALS, "rates")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("table_no")))
     per = stated.groupBy("doc_id").agg(*[last(c).alias(f"t_{c}") for c in TOTALS], F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "rates"))), lambda x: x["rates"]))).alias("rates"))
-    found = F.col("document.NDHDon.TToan")
+    found, general = F.col("document.NDHDon.TToan"), F.col("document.TTChung")
     totals = texts.join(per, "doc_id", "left").select(
-        "doc_id", F.col("document.TTChung.SHDon").alias("number"), F.col("document.TTChung.NLap").alias("issued"), F.col("document").alias("document"),
+        "doc_id", (F.trim(blank("text")) != "").alias("_said"), general["SHDon"].alias("number"), general["NLap"].alias("issued"), validate.stated_rates("text").alias("_stated"),
         *[F.coalesce(f"t_{c}", found[c]).alias(c) for c in TOTALS], F.coalesce("rates", F.array().cast("array<struct<TSuat:string,ThTien:string,TThue:string>>")).alias("rates"),
     )
-
-    by_doc = W.partitionBy("doc_id")
-    rate = F.when(blank("TSuat").rlike(r"^\d+(,\d+)?%$"), F.col("TSuat"))
-    lines = lines.withColumn("pos", F.row_number().over(by_doc.orderBy("table_no", "row_idx"))).withColumn("_one", F.when(F.size(F.collect_set(rate).over(by_doc)) == 1, F.max(rate).over(by_doc)))
-    lines = lines.withColumn("_goods", F.sum(F.when(F.col("TChat") == "1", 1).otherwise(0)).over(by_doc))
-    lines = lines.join(totals.select("doc_id", *[F.col(c).alias(f"d_{c}") for c in TOTALS], F.size("rates").alias("_n")), "doc_id", "left")
-    spread = F.col("_one").isNotNull() & (F.col("_n") == 0) & (blank("d_TgTCThue") != "") & (blank("d_TgTThue") != "")
-    alone = (F.col("TChat") == "1") & (F.col("_goods") == 1) & (blank("TThue") == "") & (blank("d_TgTThue") != "") & (decimal_strict("ThTien") == decimal_strict("d_TgTCThue"))
-    lines = lines.withColumns({"TSuat": F.when(spread & (blank("TSuat") == ""), F.col("_one")).otherwise(F.col("TSuat")), "TThue": F.when(F.coalesce(alone, F.lit(False)), F.col("d_TgTThue")).otherwise(F.col("TThue")), "_spread": spread})
-
-    as_items = lines.withColumnRenamed("doc_id", "invoice_id")
-    rules = validate.findings(as_items, totals.withColumnRenamed("doc_id", "invoice_id").select("invoice_id", *TOTALS)).select(F.col("invoice_id").alias("doc_id"), "rule")
-    read = totals.join(lines.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").join(joined_pages(pages), "doc_id")
-    checks = F.array_compact(F.array(F.when(F.col("n").isNull() & (F.trim(blank("text")) != ""), "R9"), F.when((blank("number") == "") | (blank("issued") == ""), "R10")))
-    rules = rules.unionByName(read.select("doc_id", F.explode(checks).alias("rule"))).unionByName(_warned(lines))
-    warned = rules.groupBy("doc_id").agg(F.array_sort(F.collect_set("rule")).alias("warnings"))
-    fields = F.struct("pos", *tables.FIELDS, "TChat")
-    listed = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(fields)).alias("lines"), F.max(F.when(F.col("_spread"), F.col("_one"))).alias("_rate"))
-    row = F.array(F.struct(F.col("_rate").alias("TSuat"), F.col("TgTCThue").alias("ThTien"), F.col("TgTThue").alias("TThue")))
-    return totals.join(listed, "doc_id", "left").join(warned, "doc_id", "left").select(
-        "doc_id", "number", "issued", *TOTALS, F.when(F.col("_rate").isNotNull(), row).otherwise(F.col("rates")).alias("rates"), "lines", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")
-    )
+    totals = totals.withColumn("_rate", F.when((F.size("_stated") == 1) & (F.size("rates") == 0), F.get("_stated", F.lit(0)))).drop("_stated")
+
+    # each document with its lines, or with none: from here on, one shuffle by document
+    by_doc = W.partitionBy("invoice_id")
+    met = totals.withColumnRenamed("doc_id", "invoice_id").join(lines.withColumnRenamed("doc_id", "invoice_id"), "invoice_id", "left")
+    met = met.withColumn("pos", F.row_number().over(by_doc.orderBy("table_no", "row_idx"))).withColumn("_goods", F.sum(F.when(F.col("TChat") == "1", 1).otherwise(0)).over(by_doc))
+    goods = F.coalesce(F.col("TChat") == "1", F.lit(False))
+    alone = goods & (F.col("_goods") == 1) & (blank("TThue") == "") & (blank("TgTThue") != "") & (decimal_strict("ThTien") == decimal_strict("TgTCThue"))
+    met = met.withColumns({"TSuat": F.when(goods & (blank("TSuat") == ""), F.coalesce("_rate", "TSuat")).otherwise(F.col("TSuat")), "TThue": F.when(F.coalesce(alone, F.lit(False)), F.col("TgTThue")).otherwise(F.col("TThue"))})
+    weak = F.size(validate.weak_fields(F.col("ExtractionSource.confidence"))) > 0 if "confidence" in origin else F.lit(False)
+    line = F.when(F.col("row_idx").isNotNull(), F.struct("pos", *tables.FIELDS, "TChat", *(["ExtractionSource.page"] if sourced else [])))
+    met = met.withColumns({"_line": line, "_weak": weak, "_unclear": F.coalesce("unclear", F.lit(False)), "_doc": F.struct("number", "issued", "_said", "_rate", "rates")})
+    counted = validate.rule_counts(met, None, ("_line", "_weak", "_unclear", "_doc"), (
+        F.array_sort(F.collect_list("_line")).alias("lines"), F.bool_or("_weak").alias("_weak"), F.bool_or("_unclear").alias("_unclear"), F.first("_doc").alias("_doc"), *[F.first(c).alias(f"_{c}") for c in TOTALS],
+    ))
+    d, none = F.col("_doc"), F.size("lines") == 0
+    rules = [F.when(F.col(r.lower()) > 0, r) for r in ("R1", "R2", "R3", "R4", "R5", "R6", "R7")] + [F.when((F.col("r8") > 0) & ~none, "R8")]
+    rules += [F.when(none & d["_said"], "R9"), F.when(d["_said"] & ((blank(d["number"]) == "") | (blank(d["issued"]) == "")), "R10"), F.when(F.col("_weak"), "R11"), F.when(F.col("_unclear"), "R12")]
+    known = (blank("_TgTCThue") != "") & (blank("_TgTThue") != "") & d["_rate"].isNotNull()
+    row = F.array(F.struct(d["_rate"].alias("TSuat"), F.col("_TgTCThue").alias("ThTien"), F.col("_TgTThue").alias("TThue")))
+    return counted.select(
+        F.col("invoice_id").alias("doc_id"), d["number"].alias("number"), d["issued"].alias("issued"), *[F.col(f"_{c}").alias(c) for c in TOTALS], F.when(known, row).otherwise(d["rates"]).alias("rates"),
+        F.when(~none, F.col("lines")).alias("lines"), F.array_sort(F.array_compact(F.array(*rules))).alias("warnings"),
+    )

@@ -23,18 +23,24 @@ CORE = {
     "subtotal": "NDHDon.TToan.TgTCThue", "tax_total": "NDHDon.TToan.TgTThue", "grand_total": "NDHDon.TToan.TgTTTBSo", "tax_authority_code": "MCCQT",
 }
 NULLED = ("issue_date", "subtotal", "tax_total", "grand_total")
+#: Columns of a stored invoice that a list shows.
+LISTED = "invoice_id source_filename source_type ocr_enabled invoice_number series issue_date currency seller_name seller_tax_code buyer_name buyer_tax_code grand_total status created_at updated_at".split()
 #: Columns that a search looks at.
-SEARCHED = ("invoice_number", "seller_name", "seller_tax_code", "buyer_name", "buyer_tax_code", "source_filename", "document_json")
+SEARCHED = ("invoice_number", "seller_name", "seller_tax_code", "buyer_name", "buyer_tax_code", "tax_authority_code", "document_json")
 
 
-def core_fields(documents: DataFrame, typed: bool = False) -> DataFrame:
-    """invoice_id and the 14 promoted fields; empty ones are '', the date and the amounts null. ``typed``: dates and decimals as stored."""
+def _core(typed: bool) -> list[Column]:
     out = []
     for name, path in CORE.items():
         value = F.col(f"document.{path}")
         plain = F.nullif(value, F.lit("")) if name in NULLED else blank(value)
-        out.append((date_any(plain) if name == "issue_date" else decimal_lenient(plain) if name in NULLED else plain).alias(name) if typed else plain.alias(name))
-    return documents.select("invoice_id", *out)
+        out.append(date_any(plain) if typed and name == "issue_date" else decimal_lenient(plain) if typed and name in NULLED else plain)
+    return out
+
+
+def core_fields(documents: DataFrame, typed: bool = False) -> DataFrame:
+    """invoice_id and the 14 promoted fields; empty ones are '', the date and the amounts null. ``typed``: dates and decimals as stored."""
+    return documents.select("invoice_id", *[c.alias(n) for n, c in zip(CORE, _core(typed))])
 
 
 def shredded_items(documents: DataFrame) -> DataFrame:
@@ -49,34 +55,69 @@ def shredded_items(documents: DataFrame) -> DataFrame:
     )
 
 
-def extras(value, path: str = "") -> Iterator[tuple[str, str | None, str | None, str]]:
-    """(group path, name, type, value) of every entry of a TTKhac list, at any depth."""
-    if isinstance(value, list):
-        for i, child in enumerate(value):
-            yield from extras(child, f"{path}[{i}]")
-    elif isinstance(value, dict):
-        for key, child in value.items():
-            if key == "TTKhac" and isinstance(child, list):
-                for x in child:
-                    if isinstance(x, dict):
-                        yield path or "HDon", x.get("TTruong"), x.get("KDLieu"), str(x.get("DLieu") or "")
-            yield from extras(child, f"{path}.{key}" if path else key)
+def extras(document: object) -> Iterator[tuple[str, str | None, str | None, str]]:
+    """(group path, name, type, value) of every entry of a TTKhac list, at any depth, in the order of the document."""
+    open_: list[tuple[object, str]] = [(document, "")]
+    while open_:
+        value, path = open_.pop()
+        if isinstance(value, dict):
+            entries = value.get("TTKhac")
+            for x in entries if isinstance(entries, list) else ():
+                if isinstance(x, dict):
+                    yield path or "HDon", x.get("TTruong"), x.get("KDLieu"), str(x.get("DLieu") or "")
+            below = [(child, f"{path}.{key}" if path else key) for key, child in value.items()]
+        else:
+            below = [(child, f"{path}[{i}]") for i, child in enumerate(value)] if isinstance(value, list) else []
+        open_ += reversed(below)
+
+
+def readable(text: str | None) -> object:
+    """The JSON document, or None if it isn't one."""
+    try:
+        return json.loads(text) if text else None
+    except ValueError:
+        return None
 
 
 def shredded_extras(documents: DataFrame) -> DataFrame:
     """invoice_id, group_path, field_name, data_type, field_value from ``documents`` (invoice_id, document_json). The tree has any depth and open keys, so it is
-    walked in Arrow batches."""
+    walked in Arrow batches. A document that can't be read has no entries; ``unreadable`` names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["invoice_id", "group_path", "field_name", "data_type", "field_value"]
         for batch in batches:
-            rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for x in extras(json.loads(text))]
+            rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in extras(readable(text))]
             columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "invoice_id" else pa.string()) for n, c in zip(names, columns)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c if n == "invoice_id" else [None if v is None else str(v) for v in c], pa.int64() if n == "invoice_id" else pa.string()) for n, c in zip(names, columns)], names=names)
 
     return documents.select(F.col("invoice_id").cast("long"), "document_json").mapInArrow(run, "invoice_id long, group_path string, field_name string, data_type string, field_value string")
 
 
+def unreadable(documents: DataFrame) -> DataFrame:
+    """invoice_id, error of ``documents`` (invoice_id, document_json) whose JSON can't be read."""
+    return documents.filter(F.col("document_json").isNotNull() & F.try_parse_json("document_json").isNull()).select("invoice_id", F.lit("document_json is not valid JSON").alias("error"))
+
+
+def created(drafts: DataFrame, now: Column) -> DataFrame:
+    """Stored invoices of ``drafts`` (filename, content_type, ocr_enabled, extracted_text, document, document_json, source_base64): a new id, the promoted fields, the decoded source and both timestamps.
+    A draft whose source isn't strict base64 is refused: its row has an ``error`` and nothing else but the file's name."""
+    strict = F.coalesce("source_base64", F.lit("")).rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    rows = drafts.withColumn("invoice_id", F.uuid()).withColumn("_ok", strict)
+    core = [F.when(F.col("_ok"), c).alias(n) for n, c in zip(CORE, _core(True))]
+    kept = lambda c, name: F.when(F.col("_ok"), c).alias(name)
+    return rows.select(
+        kept(F.col("invoice_id"), "invoice_id"), F.coalesce(F.nullif("filename", F.lit("")), F.lit("invoice")).alias("source_filename"), kept(F.col("content_type"), "source_type"),
+        kept(F.coalesce("ocr_enabled", F.lit(False)), "ocr_enabled"), kept(F.col("extracted_text"), "ocr_text"), *core, kept(F.col("document_json"), "document_json"),
+        F.when(F.col("_ok"), F.try_to_binary(F.coalesce("source_base64", F.lit("")), F.lit("base64"))).alias("source_data"), kept(F.lit("draft"), "status"), kept(now, "created_at"), kept(now, "updated_at"),
+        F.when(~F.col("_ok"), F.lit("the source is not valid base64")).alias("error"),
+    )
+
+
+def listed(invoices: DataFrame) -> DataFrame:
+    """The columns of stored invoices that a list shows: neither text nor document nor source is read."""
+    return invoices.select(*LISTED)
+
+
 def search(invoices: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Rows in which any of the columns contains the query; an empty query keeps all."""
     if not query:
@@ -103,20 +144,29 @@ def client_sort(invoices: DataFrame, column: str, descending: bool = False, nume
 
 
 def latest(log: DataFrame, key: str = "invoice_id") -> DataFrame:
-    """The latest version of each id that isn't deleted: a maximum per key, taken before the shuffle as well."""
+    """The latest version of each id that isn't deleted: a maximum per key, taken before the shuffle as well. Of rows with one version a deletion counts, then the first by a hash of the columns
+    (maps, which have none, left out)."""
     others = [c for c in log.columns if c not in (key, "version")]
-    last = log.groupBy(key).agg(F.max(F.struct("version", *others)).alias("x"))
+    hashed = [f.name for f in log.schema if f.name in others and "map<" not in f.dataType.simpleString()]
+    last = log.groupBy(key).agg(F.max_by(F.struct("version", *others), F.struct("version", F.coalesce("deleted", F.lit(False)), F.xxhash64(*hashed))).alias("x"))
     return last.select(key, "x.*").filter(~F.col("deleted"))
 
 
-def updated(log: DataFrame, changes: DataFrame, kept: tuple[str, ...] = ("source_filename", "created_at"), key: str = "invoice_id") -> DataFrame:
-    """The log with a new version of each changed id that exists; the ``kept`` columns stay as they were."""
-    now = latest(log, key).alias("old")
-    fresh = now.join(changes.alias("new"), key)
-    own = {c: F.col(f"old.{c}") if c in kept or c not in changes.columns else F.col(f"new.{c}") for c in now.columns if c not in (key, "version")}
+def updated(log: DataFrame, changes: DataFrame, kept: tuple[str, ...] = ("source_filename", "created_at"), key: str = "invoice_id", now: Column | None = None) -> DataFrame:
+    """The log with a new version of each changed id that exists; the ``kept`` columns stay as they were, and ``updated_at``, where the log has it, becomes ``now``. ``missing`` names the ids that don't exist."""
+    current = latest(log, key).alias("old")
+    fresh = current.join(changes.alias("new"), key)
+    own = {c: F.col(f"old.{c}") if c in kept or c not in changes.columns else F.col(f"new.{c}") for c in current.columns if c not in (key, "version")}
+    if now is not None and "updated_at" in own:
+        own["updated_at"] = now
     return log.unionByName(fresh.select(key, (F.col("old.version") + 1).alias("version"), *[v.alias(k) for k, v in own.items()]).select(log.columns))
 
 
+def missing(log: DataFrame, changes: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """The ids in ``changes`` that aren't stored, or were deleted."""
+    return changes.select(key).distinct().join(latest(log, key).select(key), key, "left_anti")
+
+
 def deleted(log: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:
     """The log with a tombstone for each of the ids that exists."""
     gone = latest(log, key).join(ids.select(key).distinct(), key, "left_semi")

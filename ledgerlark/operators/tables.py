@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import compact, decimal_strict, fold_accents, let, rejoined
+from ledgerlark.functions.scalars import LINE_END, compact, decimal_strict, fold_accents, html_unescaped, let, rejoined
 
 # Header labels of the columns, and the English wordings that only fill what those leave open.
 LABELS = [
@@ -100,19 +100,32 @@ def analysed(tables: DataFrame) -> DataFrame:
 
 
 def items(tables: DataFrame) -> DataFrame:
-    """table_id, row_idx, the item fields, TChat (1 goods, 4 note, empty if unclear) and unclear (a row with amounts but no line number)."""
+    """table_id, row_idx, the item fields, TChat (1 goods, 4 note, empty if unclear) and unclear (a row with amounts but no line number). Of tables that say where they come from (column
+    ``page``, perhaps ``method``, and by row ``confidence``, one number a cell, and ``bbox``) also ExtractionSource and the entry in TTKhac that names it."""
     cell = lambda f: F.coalesce(F.get("row", F.try_element_at("columns", F.lit(f))), F.lit(""))
-    rows = analysed(tables).filter(F.col("plain") & ~F.col("ends") & F.col("columns").isNotNull()).select("table_id", "row_idx", "cells", "columns", *[cell(f).alias(f) for f in FIELDS])
+    sourced = [c for c in ("page", "method", "confidence", "bbox") if c in tables.columns]
+    rows = analysed(tables).filter(F.col("plain") & ~F.col("ends") & F.col("columns").isNotNull()).select("table_id", "row_idx", "cells", "columns", *sourced, *[cell(f).alias(f) for f in FIELDS])
     amounts = reduce(lambda a, b: a | b, [F.col(f) != "" for f in ("SLuong", "DGia", "ThTien")])
     goods, note = F.col("STT").rlike(r"^\d+$"), (F.col("STT") == "") & ~amounts
     described = (F.col("THHDVu") != "") & ~F.col("THHDVu").rlike(r"^\(?\d+\)?$")
     whole = compact(rejoined(F.get("cells", F.element_at("columns", F.lit("THHDVu")))))
     return rows.filter(described & (goods | note | amounts)).select(
         "table_id", "row_idx", *[whole.alias(f) if f == "THHDVu" else F.col(f) for f in FIELDS],
-        F.when(goods, "1").when(note, "4").otherwise("").alias("TChat"), (~goods & ~note).alias("unclear"),
+        F.when(goods, "1").when(note, "4").otherwise("").alias("TChat"), (~goods & ~note).alias("unclear"), *(_provenance(sourced) if "page" in sourced else []),
     )
 
 
+def _provenance(given: list[str]) -> list[Column]:
+    method = F.coalesce("method", F.lit("PDF table")) if "method" in given else F.lit("PDF table")
+    sure = F.map_from_entries(F.filter(F.transform(F.map_entries("columns"), lambda e: F.struct(e["key"].alias("key"), F.get("confidence", e["value"]).alias("value"))), lambda e: e["value"].isNotNull()))
+    source = F.struct(
+        F.col("page").cast("int").alias("page"), method.alias("method"), (sure if "confidence" in given else F.lit(None)).cast("map<string,double>").alias("confidence"),
+        (F.col("bbox") if "bbox" in given else F.lit(None)).cast("array<double>").alias("bbox"),
+    )
+    said = F.concat(F.lit("Trang "), F.col("page").cast("string"), F.lit(" ("), method, F.lit(")"))
+    return [source.alias("ExtractionSource"), F.array(F.struct(F.lit("Nguồn trích xuất").alias("TTruong"), F.lit("string").alias("KDLieu"), said.alias("DLieu"))).alias("TTKhac")]
+
+
 def totals(tables: DataFrame) -> DataFrame:
     """table_id, the totals that its rows state (the last statement of each counts) and the different rate rows in order."""
     rows = analysed(tables)
@@ -122,15 +135,13 @@ def totals(tables: DataFrame) -> DataFrame:
 
 
 def markdown_cells(line: Column) -> Column:
-    """The cells of a Markdown row: outer pipes off, split at unescaped pipes, marks and the common references resolved."""
+    """The cells of a Markdown row: outer pipes off, split at unescaped pipes, marks gone and character references resolved."""
     inner = F.regexp_replace(F.regexp_replace(line, r"^\s+|\s+$", ""), r"^\|+|\|+$", "")
 
     def tidy(cell: Column) -> Column:
         steps = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</?(?:b|strong|i|em)>", ""), (r"(?<!\\)[*_]{1,3}", ""))
         text = F.replace(reduce(lambda x, s: F.regexp_replace(x, *s), steps, cell), F.lit(r"\|"), F.lit("|"))
-        for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-            text = F.replace(text, F.lit(name), F.lit(sign))
-        return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+        return F.regexp_replace(html_unescaped(text), r"(?U)^\s+|\s+$", "")
 
     return F.transform(F.split(inner, r"(?<!\\)\|", -1), tidy)
 
@@ -138,7 +149,7 @@ def markdown_cells(line: Column) -> Column:
 def markdown_tables(pages: DataFrame) -> DataFrame:
     """page_id, table_no, row_idx, cells of the tables in ``pages`` (page_id, text): a row of at least two cells over a separator row of as many; the body goes on while rows have
     as many cells. Window functions over a page's lines."""
-    lines = pages.select("page_id", F.posexplode(F.split(F.col("text"), "\r\n|[\n\x0b\x0c\r]")).alias("no", "line"))
+    lines = pages.select("page_id", F.posexplode(F.split(F.col("text"), LINE_END)).alias("no", "line"))
     lines = lines.withColumn("cells", F.when(F.contains("line", F.lit("|")), markdown_cells(F.col("line")))).withColumn("n", F.coalesce(F.size("cells"), F.lit(0)))
     lines = lines.withColumn("rule", F.coalesce(F.forall("cells", lambda c: F.rlike(F.replace(c, F.lit(" "), F.lit("")), F.lit("^:?-{3,}:?$"))), F.lit(False)))
     by_line = W.partitionBy("page_id").orderBy("no")

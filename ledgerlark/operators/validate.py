@@ -3,7 +3,7 @@
 ``items``: invoice_id, pos and the string fields STT, SLuong, DGia, TLCKhau, STCKhau, ThTien, TThue, TChat as printed. ``totals``: invoice_id, TgTCThue,
 TgTThue, TgTTTBSo as printed. Only lines with TChat 1 are checked; R8 counts all. Amounts differ if by more than one unit.
 
-Lines are shuffled once, by invoice; the window over line numbers and the grouping both use that partitioning.
+Lines are shuffled once, by invoice; the windows over line numbers and the grouping all use that partitioning. Lines that bear their invoice's totals need no join.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import blank, decimal_strict
+from ledgerlark.functions.scalars import blank, decimal_strict, nfc
+from ledgerlark.operators import labels
 
 RULES = {
     "R1": "line number repeated",
@@ -31,22 +32,25 @@ def _count(test: Column) -> Column:
     return F.sum(F.when(test, 1).otherwise(0)).cast("long")
 
 
-def line_findings(items: DataFrame) -> DataFrame:
-    """The goods lines with their parsed numbers and r1, r2, r3 and in_order."""
+TOTALS = ("TgTCThue", "TgTThue", "TgTTTBSo")
+
+
+def _judged(items: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """All lines with ``goods``, their parsed numbers and r1, r2, r3 and in_order, which count goods only."""
     number = blank("STT")
-    numeric = number.rlike(r"^\d+$")
+    goods, numeric = blank("TChat") == "1", number.rlike(r"^\d+$")
     by_pos = W.partitionBy("invoice_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy("invoice_id", F.when(number == "", "?").otherwise(number)).orderBy("pos")
+    same = W.partitionBy("invoice_id", goods, F.when(number == "", "?").otherwise(number)).orderBy("pos")
     quantity, price, amount, discount = (decimal_strict(c) for c in ("SLuong", "DGia", "ThTien", "STCKhau"))
-    lines = items.filter(blank("TChat") == "1").select(
-        "invoice_id", "pos", "STT", quantity.alias("quantity"), price.alias("price"), amount.alias("amount"), decimal_strict("TThue").alias("tax"),
+    lines = items.select(
+        "invoice_id", "pos", "STT", *kept, goods.alias("goods"), quantity.alias("quantity"), price.alias("price"), amount.alias("amount"), decimal_strict("TThue").alias("tax"),
         discount.alias("discount"), blank("STCKhau").alias("stated"), (blank("TLCKhau") != "").alias("by_rate"),
-        F.sum(F.when(numeric, 1).otherwise(0)).over(by_pos).alias("nth"), numeric.alias("numeric"),
-    ).withColumn("repeat", F.row_number().over(same))
+        F.sum(F.when(goods & numeric, 1).otherwise(0)).over(by_pos).alias("nth"), numeric.alias("numeric"), F.row_number().over(same).alias("repeat"),
+    )
     known = F.col("quantity").isNotNull() & F.col("price").isNotNull() & F.col("amount").isNotNull()
     due = (F.col("quantity") * F.col("price")).cast(EXACT) - F.coalesce("discount", F.lit(0).cast(EXACT)) - F.col("amount")
     return lines.select(
-        "invoice_id", "pos", "STT", "amount", "tax",
+        "invoice_id", "pos", "STT", *kept, "goods", "amount", "tax",
         (F.col("repeat") > 1).alias("r1"),
         (~known).alias("r2"),
         F.coalesce(known & ~F.col("by_rate") & ((F.col("stated") == "") | F.col("discount").isNotNull()) & (F.abs(due) > 1), F.lit(False)).alias("r3"),
@@ -54,17 +58,25 @@ def line_findings(items: DataFrame) -> DataFrame:
     )
 
 
-def rule_counts(items: DataFrame, totals: DataFrame) -> DataFrame:
-    """invoice_id and r1 to r8: how often each rule speaks for each invoice."""
-    lines = line_findings(items).groupBy("invoice_id").agg(
-        F.count("*").alias("n"), _count(F.col("r1")).alias("r1"), _count(F.col("r2")).alias("r2"), _count(F.col("r3")).alias("r3"),
-        F.bool_and("in_order").alias("in_order"), F.count("amount").alias("n_amount"), F.sum("amount").alias("amounts"), F.count("tax").alias("n_tax"), F.sum("tax").alias("taxes"),
+def line_findings(items: DataFrame) -> DataFrame:
+    """The goods lines with their amounts and taxes and r1, r2, r3 and in_order."""
+    return _judged(items).filter("goods").drop("goods")
+
+
+def rule_counts(items: DataFrame, totals: DataFrame | None = None, kept: tuple[str, ...] = (), extra: tuple[Column, ...] = ()) -> DataFrame:
+    """invoice_id and r1 to r8: how often each rule speaks for each invoice. Without ``totals``, the lines bear those of their invoice, and all is one shuffle of the lines. ``extra``: further
+    aggregates, by name, of the columns ``kept``, made in the same pass."""
+    goods = F.col("goods")
+    judged = _judged(items, kept if totals is not None else (*TOTALS, *kept))
+    lines = judged.groupBy("invoice_id").agg(
+        _count(goods).alias("n"), *[_count(goods & F.col(r)).alias(r) for r in ("r1", "r2", "r3")], F.bool_or(~goods).alias("notes"),
+        F.bool_and(F.when(goods, F.col("in_order"))).alias("in_order"), F.count(F.when(goods, F.col("amount"))).alias("n_amount"), F.sum(F.when(goods, F.col("amount"))).alias("amounts"),
+        F.count(F.when(goods, F.col("tax"))).alias("n_tax"), F.sum(F.when(goods, F.col("tax"))).alias("taxes"), *([] if totals is not None else [F.first(c).alias(c) for c in TOTALS]), *extra,
     )
-    others = items.filter(blank("TChat") != "1").select("invoice_id").distinct().withColumn("notes", F.lit(True))
-    stated = totals.select(
-        "invoice_id", decimal_strict("TgTCThue").alias("subtotal"), decimal_strict("TgTThue").alias("tax_total"), decimal_strict("TgTTTBSo").alias("total")
-    )
-    all_ = stated.join(lines, "invoice_id", "left").join(others, "invoice_id", "left")
+    own = [c for c in lines.columns if c not in ("invoice_id", "n", "r1", "r2", "r3", "notes", "in_order", "n_amount", "amounts", "n_tax", "taxes", *TOTALS)]
+    whole = lines if totals is None else totals.select("invoice_id", *TOTALS).join(lines, "invoice_id", "left")
+    parsed = [decimal_strict(c).alias(name) for c, name in zip(TOTALS, ("subtotal", "tax_total", "total"))]
+    all_ = whole.select(*[c for c in whole.columns if c not in TOTALS], *parsed)
     n = F.coalesce("n", F.lit(0))
     off = lambda x, y: F.coalesce(F.abs(x - y) > 1, F.lit(False)).cast("long")
     zero = F.lit(0).cast("long")
@@ -74,17 +86,17 @@ def rule_counts(items: DataFrame, totals: DataFrame) -> DataFrame:
         F.when((n > 0) & (F.col("n_amount") == n), off(F.col("amounts"), F.col("subtotal"))).otherwise(zero).alias("r5"),
         F.when((n > 0) & (F.col("n_tax") == n), off(F.col("taxes"), F.col("tax_total"))).otherwise(zero).alias("r6"),
         off(F.col("subtotal") + F.col("tax_total"), F.col("total")).alias("r7"),
-        (((n > 0) | F.coalesce("notes", F.lit(False))) & F.col("total").isNull()).cast("long").alias("r8"),
+        (((n > 0) | F.coalesce("notes", F.lit(False))) & F.col("total").isNull()).cast("long").alias("r8"), *own,
     )
 
 
-def findings(items: DataFrame, totals: DataFrame) -> DataFrame:
+def findings(items: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """invoice_id, rule, times: what speaks against each invoice."""
     pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r.lower()).alias("times")) for r in RULES])
     return rule_counts(items, totals).select("invoice_id", F.explode(F.filter(pairs, lambda p: p["times"] > 0)).alias("f")).select("invoice_id", "f.rule", "f.times")
 
 
-def summary(items: DataFrame, totals: DataFrame) -> DataFrame:
+def summary(items: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """rule, findings, invoices."""
     return findings(items, totals).groupBy("rule").agg(F.sum("times").alias("findings"), F.count("*").alias("invoices"))
 
@@ -100,19 +112,35 @@ def read_checks(documents: DataFrame) -> DataFrame:
 
 def low_confidence(items: DataFrame, least: int = 70) -> DataFrame:
     """R11: the amounts of each line that were read with less confidence than ``least`` (invoice_id, pos, fields)."""
+    return items.select("invoice_id", "pos", weak_fields(F.col("confidence"), least).alias("fields")).filter(F.size("fields") > 0)
+
+
+def weak_fields(confidence: Column, least: int = 70) -> Column:
+    """The amounts of a line that are given and were read with less confidence than ``least``."""
     fields = ("SLuong", "DGia", "ThTien", "TThue")
-    weak = F.array_compact(F.array(*[F.when((blank(f) != "") & (F.coalesce(F.try_element_at("confidence", F.lit(f)), F.lit(100.0)) < least), F.lit(f)) for f in fields]))
-    return items.select("invoice_id", "pos", weak.alias("fields")).filter(F.size("fields") > 0)
-
-
-def single_rate(items: DataFrame, totals: DataFrame) -> DataFrame:
-    """Where an invoice's lines and notes name exactly one rate and no rate rows were read: invoice_id and the one row (TSuat, ThTien, TThue) that stands for
-    all, if subtotal and tax are known."""
-    rates = items.filter(blank("TSuat").rlike(r"^\d+(,\d+)?%$")).groupBy("invoice_id").agg(F.count_distinct("TSuat").alias("n"), F.min("TSuat").alias("TSuat"))
-    open_ = totals.filter((blank("TgTCThue") != "") & (blank("TgTThue") != ""))
-    if "n_rates" in totals.columns:
-        open_ = open_.filter(F.coalesce("n_rates", F.lit(0)) == 0)
-    return rates.filter("n = 1").join(open_, "invoice_id").select("invoice_id", "TSuat", F.col("TgTCThue").alias("ThTien"), F.col("TgTThue").alias("TThue"))
+    return F.array_compact(F.array(*[F.when((blank(f) != "") & (F.coalesce(F.try_element_at(confidence, F.lit(f)), F.lit(100.0)) < least), F.lit(f)) for f in fields]))
+
+
+def stated_rates(text: Column | str) -> Column:
+    """The different percentages that a text's rate labels state; other values don't count."""
+    own = F.filter(labels.label_pairs(nfc(blank(text))), lambda p: (p["label"] == "rate") & p["value"].rlike(r"^\d+(,\d+)?%$"))
+    return F.array_distinct(F.transform(own, lambda p: p["value"]))
+
+
+def single_rate(texts: DataFrame, totals: DataFrame) -> DataFrame:
+    """Where an invoice's text (``texts``: invoice_id, text) states exactly one rate and no rate rows were read (``totals`` may count them in n_rates): invoice_id, TSuat, and ThTien and TThue of the one row that stands
+    for all, null unless subtotal and tax are both known."""
+    rates = texts.select("invoice_id", stated_rates("text").alias("rates")).filter(F.size("rates") == 1)
+    open_ = totals.filter(F.coalesce("n_rates", F.lit(0)) == 0) if "n_rates" in totals.columns else totals
+    known = (blank("TgTCThue") != "") & (blank("TgTThue") != "")
+    return rates.join(open_.select("invoice_id", "TgTCThue", "TgTThue"), "invoice_id").select("invoice_id", F.get("rates", F.lit(0)).alias("TSuat"), F.when(known, F.col("TgTCThue")).alias("ThTien"), F.when(known, F.col("TgTThue")).alias("TThue"))
+
+
+def with_single_rate(items: DataFrame, rates: DataFrame) -> DataFrame:
+    """``items`` with the single rate (``rates``: invoice_id, TSuat) on goods lines that have none."""
+    one = rates.select("invoice_id", F.col("TSuat").alias("_rate"))
+    goods = (blank("TChat") == "1") & (blank("TSuat") == "")
+    return items.join(one, "invoice_id", "left").withColumn("TSuat", F.when(goods, F.coalesce("_rate", "TSuat")).otherwise(F.col("TSuat"))).drop("_rate")
 
 
 def single_item_tax(items: DataFrame, totals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.plans import invoices, records
+from ledgerlark.plans import details, invoices, records
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = invoices.QUERIES | records.QUERIES
-ORACLES: dict[str, str] = invoices.ORACLES | records.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = invoices.QUERIES | records.QUERIES | details.QUERIES
+ORACLES: dict[str, str] = invoices.ORACLES | records.ORACLES | details.ORACLES

@@ -14,7 +14,7 @@ P = SQL_PRINTED.format
 
 
 def invoice_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary(derived.items(spark, sf_dir), derived.stated_totals(spark, sf_dir))
+    return validate.summary(derived.whole_items(spark, sf_dir))
 
 
 SQL_RULES = f"""{SQL_LINES},
@@ -50,7 +50,7 @@ def rule_line_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_totals_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.rule_counts(derived.items(spark, sf_dir), derived.stated_totals(spark, sf_dir)).select("invoice_id", "r5", "r6", "r7", "r8")
+    return validate.rule_counts(derived.whole_items(spark, sf_dir)).select("invoice_id", "r5", "r6", "r7", "r8")
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +105,23 @@ DATES_SQL = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderda
   WHEN 3 THEN CASE WHEN length(strftime(o_orderdate, '%-d/%-m/%Y')) = 10 THEN CAST(o_orderdate AS DATE) END END AS issued FROM orders"""
 
 
+def rated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoice_id, text: an invoice's different rates as labels, every other in English; every 5th also states one that isn't a percentage, every 9th none at all."""
+    rates = F.array_sort(F.collect_set(F.round(F.col("l_tax") * 100).cast("int")))
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("invoice_id")).agg(rates.alias("rates"))
+    line = lambda r: F.concat(F.when(F.pmod(F.col("invoice_id"), F.lit(2)) == 0, "Thuế suất GTGT (VAT rate): ").otherwise("VAT rate： "), r.cast("string"), F.lit("%  Ghi chú: x"))
+    more = F.when(F.pmod(F.col("invoice_id"), F.lit(5)) == 0, F.array(F.lit("Thuế suất: KCT"))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.transform("rates", line), more), "\n")
+    return per.select("invoice_id", F.when(F.pmod(F.col("invoice_id"), F.lit(9)) > 0, text).otherwise("no rate").alias("text"))
+
+
 def single_rate_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.single_rate(derived.items(spark, sf_dir), derived.stated_totals(spark, sf_dir))
+    totals = derived.stated_totals(spark, sf_dir).withColumn("TgTThue", F.when(F.pmod(F.col("invoice_id"), F.lit(6)) > 0, F.col("TgTThue")))
+    return validate.single_rate(rated_texts(spark, sf_dir), totals)
 
 
-SINGLE_RATE_SQL = f"""WITH {SQL_LINES}, r AS (SELECT invoice_id, min(rate) AS rate FROM typed GROUP BY invoice_id HAVING count(DISTINCT rate) = 1)
-SELECT invoice_id, rate || '%' AS "TSuat", {P("subtotal")} AS "ThTien", {P("tax_total")} AS "TThue" FROM r JOIN stated USING (invoice_id)"""
+SINGLE_RATE_SQL = f"""WITH {SQL_LINES}, r AS (SELECT invoice_id, min(rate) AS rate FROM typed WHERE invoice_id % 9 > 0 GROUP BY invoice_id HAVING count(DISTINCT rate) = 1)
+SELECT invoice_id, rate || '%' AS "TSuat", CASE WHEN invoice_id % 6 > 0 THEN {P("subtotal")} END AS "ThTien", CASE WHEN invoice_id % 6 > 0 THEN {P("tax_total")} END AS "TThue" FROM r JOIN stated USING (invoice_id)"""
 
 
 def single_item_tax(spark: SparkSession, sf_dir: str) -> DataFrame:

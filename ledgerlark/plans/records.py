@@ -369,7 +369,7 @@ ORACLES = {
     "job_latest_state": f"WITH {SQL_JOBS} SELECT * FROM jobs",
     "job_status_left_join": f"WITH {SQL_JOBS} SELECT j.*, heartbeat, message FROM jobs j LEFT JOIN progress USING (job_id), clock WHERE expires >= now",
     "job_orphans_anti": f"WITH {SQL_JOBS} SELECT job_id, heartbeat FROM progress WHERE job_id NOT IN (SELECT job_id FROM jobs)",
-    "job_stale_anti": f"WITH {SQL_JOBS} SELECT job_id, status FROM jobs, clock WHERE status IN ('queued', 'running') AND job_id NOT IN (SELECT job_id FROM progress, clock WHERE heartbeat >= now - 120)",
+    "job_stale_anti": f"WITH {SQL_JOBS} SELECT job_id, status FROM jobs, clock WHERE status IN ('queued', 'running') AND job_id NOT IN (SELECT job_id FROM progress, clock WHERE heartbeat > now - 120)",
     "job_active_count": f"WITH {SQL_JOBS} SELECT count(*) AS n FROM jobs WHERE status IN ('queued', 'running')",
     "latest_version": LATEST_SQL,
     "cascade_delete": f"WITH {SQL_LINES} SELECT invoice_id, pos, l_partkey FROM lines WHERE invoice_id % 10 <> 0 AND invoice_id IN (SELECT o_orderkey FROM orders)",

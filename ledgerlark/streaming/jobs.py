@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,8 +46,8 @@ def orphans(progress_: DataFrame, jobs_: DataFrame) -> DataFrame:
 
 
 def stale(jobs_: DataFrame, progress_: DataFrame, now: Column | float) -> DataFrame:
-    """Active jobs without a recent heartbeat."""
-    alive = progress_.filter(F.col("heartbeat") >= now - F.lit(STALE)).select("job_id")
+    """Active jobs without a recent heartbeat: one of exactly STALE seconds ago is none."""
+    alive = progress_.filter(F.col("heartbeat") > now - F.lit(STALE)).select("job_id")
     return jobs_.filter(F.col("status").isin(*ACTIVE)).join(alive, "job_id", "left_anti")
 
 
@@ -72,6 +73,17 @@ def swept(jobs_: DataFrame, progress_: DataFrame, now: Column | float) -> tuple[
     return alive, progress_.join(alive.select("job_id"), "job_id", "left_semi")
 
 
+def submitted(jobs_: DataFrame, progress_: DataFrame, requests: DataFrame, now: Column | float, most: int = 1, message: str = "starting") -> tuple[DataFrame, DataFrame]:
+    """Jobs and progress after ``requests`` (job_id) came in: what is left after a sweep, and of the requests, in the order of their ids, as many as there is room for, queued and with a first heartbeat. One plan,
+    so that the count and the rows it lets in are of one state."""
+    alive, left = swept(jobs_, progress_, now)
+    at = now if isinstance(now, Column) else F.lit(now)
+    room = active(alive).select((F.lit(max(1, most)) - F.col("n")).alias("room"), F.lit(0).alias("one"))
+    fresh = requests.select("job_id", F.row_number().over(W.orderBy("job_id")).alias("nth"), F.lit(0).alias("one")).join(F.broadcast(room), "one").filter("nth <= room")
+    jobs_ = alive.unionByName(fresh.select("job_id", F.lit("queued").alias("status"), at.cast("double").alias("changed"), (at + KEEP_ACTIVE).cast("double").alias("expires")))
+    return jobs_, left.unionByName(fresh.select("job_id", at.cast("double").alias("heartbeat"), F.lit(message).alias("message")))
+
+
 def job_stream(events: DataFrame) -> DataFrame:
     """job_id, status, changed, heartbeat, message of each job with news, from a stream of events with column ``ts`` under a watermark. An active job that is silent
     for STALE seconds of event time fails; a job's state is dropped when it expires."""

@@ -94,7 +94,7 @@ def test_page_reader_and_files(spark, tmp_path):
     read = {r.path: r for r in D.parsed(latin).collect()}
     assert "\ufffd" in read["l.txt"].extracted_text and read["l.txt"].document.TTChung.KHHDon == "X" and read["l.json"].error == "not valid JSON"
     reader = lambda df: df.select("path", F.lit("seen").alias("extracted_text"), F.lit(json.dumps({"MCCQT": "M"})).alias("document_json"))
-    r = D.parsed(found, use_ocr=True, page_reader=reader).first()
+    r = D.parsed(found, use_ocr=True, page_reader=reader).filter("parser = 'pdf'").first()
     assert (r.extracted_text, r.document.MCCQT, r.ocr_engine) == ("seen", "M", "tesseract")
 
 

@@ -57,7 +57,7 @@ def test_jobs(spark):
     assert sorted(tuple(r) for r in progress.collect()) == [(2, 7.0, "m1"), (3, 1.0, "x")]
     assert [r.job_id for r in J.orphans(progress, jobs).collect()] == [3]
     at = lambda now: sorted(r.job_id for r in J.stale(jobs, progress, F.lit(now)).collect())
-    assert at(126.0) == [4] and at(127.0) == [4] and at(127.5) == [2, 4]
+    assert at(126.0) == [4] and at(126.5) == [4] and at(127.0) == [2, 4]
     assert J.active(jobs).first().n == 2 and not J.admitted(jobs, 2) and J.admitted(jobs, 3)
     assert sorted((r.job_id, r.status) for r in J.failed_when_stale(jobs, progress, F.lit(200.0)).collect()) == [(1, "completed"), (2, "failed"), (4, "failed")]
     assert sorted((r.job_id, r.message) for r in J.status(jobs, progress, F.lit(4000.0)).collect()) == [(2, "m1"), (4, None)]
