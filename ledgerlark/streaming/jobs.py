@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,9 +86,11 @@ def submitted(jobs_: DataFrame, progress_: DataFrame, requests: DataFrame, now:
 def job_stream(events: DataFrame) -> DataFrame:
     """job_id, status, changed, heartbeat, message of each job with news, from a stream of events with column ``ts`` under a watermark. An active job that is silent
     for STALE seconds of event time fails; a job's state is dropped when it expires."""
+    import pandas as pd
+
     schema = "job_id long, status string, changed double, heartbeat double, message string"
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(key: tuple, batches: Iterator["pd.DataFrame"], state: GroupState) -> Iterator["pd.DataFrame"]:
         status_, changed, beat, message = state.get if state.exists else ("", 0.0, 0.0, "")
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs() / 1000
