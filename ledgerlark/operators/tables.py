@@ -36,21 +36,25 @@ def folded(c: Column) -> Column:
 def header_columns(cells: Column) -> Column:
     """Field to column number (from 0) if the row is a header, else null. Of several columns with a field's label the last
     counts; an English wording fills a field that no label before or in that cell has set, or that none sets at all."""
+    # no header without a line number column: one look at the row spares most rows the search
+    return F.when(F.rlike(F.array_join(cells, " ", ""), F.lit(MAY_BE_HEADER)), let(F.transform(cells, compact), _header))
+
+
+def _header(row: Column) -> Column:
+    """The same of a row of compact cells."""
     def found(plain: Column) -> Column:
         entries = []
         for label, field in LABELS:
             at = F.array_max(_places(plain, _starting(_plain(label))))
             for pattern in (p for f, p in ENGLISH if f == field):
-                at = F.coalesce(at, F.array_min(_places(cells, _holding(pattern))))
+                at = F.coalesce(at, F.array_min(_places(row, _holding(pattern))))
             entries.append(F.struct(F.lit(field).alias("k"), at.alias("v")))
         return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
 
     def whole(columns: Column) -> Column:
         return F.when(reduce(lambda a, b: a & b, [F.map_contains_key(columns, F.lit(f)) for f in NEEDED]), columns)
 
-    # no header without a line number column: one look at the row spares most rows the search
-    folded_cells = F.transform(cells, lambda c: folded(compact(c)))
-    return F.when(F.rlike(F.array_join(cells, " ", ""), F.lit(MAY_BE_HEADER)), let(folded_cells, lambda plain: let(found(plain), whole)))
+    return let(F.transform(row, folded), lambda plain: let(found(plain), whole))
 
 
 def _starting(prefix: str) -> Callable[[Column], Column]:
@@ -58,7 +62,7 @@ def _starting(prefix: str) -> Callable[[Column], Column]:
 
 
 def _holding(pattern: str) -> Callable[[Column], Column]:
-    return lambda cell: F.rlike(compact(cell), F.lit(f"(?iu){pattern}"))
+    return lambda cell: F.rlike(cell, F.lit(f"(?iu){pattern}"))
 
 
 def _places(cells: Column, test: Callable[[Column], Column]) -> Column:
@@ -73,7 +77,8 @@ def _plain(label: str) -> str:
 
 def analysed(tables: DataFrame) -> DataFrame:
     """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force."""
-    row = tables.withColumn("row", F.transform("cells", compact)).withColumn("header", header_columns(F.col("cells")))
+    row = tables.withColumn("row", F.transform("cells", compact))
+    row = row.withColumn("header", F.when(F.rlike(F.array_join("cells", " ", ""), F.lit(MAY_BE_HEADER)), _header(F.col("row"))))
     row = row.withColumn("filled", F.filter("row", lambda c: c != "")).withColumn("first", F.lower(F.coalesce(F.get("filled", F.lit(0)), F.lit(""))))
     numbers = F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull())
     row = row.withColumn("numbers", F.when(F.rlike(F.array_join("filled", " "), F.lit(MAY_BE_TOTAL)), numbers).otherwise(F.array().cast("array<string>")))

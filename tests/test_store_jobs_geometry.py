@@ -77,3 +77,26 @@ def test_job_stream(spark, tmp_path):
     finally:
         q.stop()
     assert (1, "running") in seen and (1, "completed") in seen and (1, "failed") not in seen and (4, "failed") in seen and (2, "failed") in seen
+
+
+def test_one_bad_document_does_not_end_the_job(spark):
+    docs = spark.createDataFrame([(1, '{"TTKhac":[{"TTruong":"a","DLieu":1}]}'), (2, "{bad"), (3, None), (4, '[{"X":{"TTKhac":[{"TTruong":"b"},7]}}]')], "invoice_id long, document_json string")
+    assert sorted(tuple(r) for r in store.shredded_extras(docs).collect()) == [(1, "HDon", "a", None, "1"), (4, "[0].X", "b", None, "")]
+    assert [r.invoice_id for r in store.unreadable(docs).collect()] == [2]
+
+
+def test_latest_with_maps_and_ties(spark):
+    rows = [(1, 1, False, {"a": "x"}, "p"), (1, 2, False, {"a": "y"}, "q"), (1, 2, False, {"b": "z"}, "r"), (2, 1, False, {}, "s"), (2, 1, True, {}, "s")]
+    log = spark.createDataFrame(rows, "invoice_id long, version int, deleted boolean, extra map<string,string>, updated_at string")
+    one = store.latest(log).collect()
+    assert len(one) == 1 and one[0].version == 2 and one == store.latest(log.orderBy(F.desc("updated_at"))).collect()
+    changes = spark.createDataFrame([(1, "new"), (2, "gone"), (9, "none")], "invoice_id long, updated_at string")
+    assert sorted(r.invoice_id for r in store.missing(log, changes).collect()) == [2, 9]
+    assert store.latest(store.updated(log, changes.select("invoice_id"), now=F.lit("now"))).first().updated_at == "now"
+
+
+def test_a_page_without_enough_rules_has_no_table(spark):
+    pages = spark.createDataFrame([(1, 1000.0, 1000.0), (2, 1000.0, 1000.0)], "g long, width double, height double")
+    rules = [(1, i, 100.0 * i, 100.0, 100.0 * i, 500.0) for i in range(7)] + [(1, 20, 0.0, 300.0, 600.0, 300.0), (2, 1, 5.0, 0.0, 5.0, 900.0)]
+    found = G.ruled_table(spark.createDataFrame(rules, "g long, id long, x0 double, y0 double, x1 double, y1 double"), pages).collect()
+    assert [(r.g, r.xs, r.ys) for r in found] == [(1, [100.0 * i for i in range(7)], [100.0, 300.0, 500.0])]
