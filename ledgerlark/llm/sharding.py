@@ -120,8 +120,9 @@ def rebalanced(placed: list[int], sums: dict[int, tuple[int, int]], n_shards: in
 def save_map(spark: SparkSession, placed: list[int], path: str, version: int, hot: list[int] | None = None) -> None:
     """Stores one version of the map, and of the hot groups; earlier versions stay readable."""
     rows = spark.range(len(placed)).select(F.col("id").cast("int").alias("slot"), _element(placed, F.col("id")).cast("int").alias("shard"), F.lit(None).cast("long").alias("hot"))
-    groups = spark.createDataFrame([(h,) for h in hot or []], "hot long").select(F.lit(None).cast("int").alias("slot"), F.lit(None).cast("int").alias("shard"), "hot")
-    rows.unionByName(groups).coalesce(1).write.parquet(f"{path}/version={version}")
+    groups = F.explode(F.array(*map(F.lit, hot or [])).cast("array<bigint>"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(None).cast("int").alias("slot"), F.lit(None).cast("int").alias("shard"), groups.alias("hot")))
+    rows.coalesce(1).write.parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
