@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, quality, sharding, toxicity, warc
+from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, quality, resample, sharding, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontamination": op2_decontamination,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op12_resampling": op12_resampling,
 }
 
 MIXING_SQL = r"""
@@ -125,5 +130,31 @@ SELECT page_id, coalesce(url, 'urn:page:' || page_id) AS uri, CAST(strlen(html)
   CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to, true AS valid FROM own
 """
 
+#: The CRC-32 of ``x`` as a number: the table's entries are eight shifts each.
+_CRC_TABLE = "(SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) FROM range(256) t(i))"
+
+
+def _crc_sql(x: str) -> str:
+    octets = f"[CAST(('0x' || substr(hex(encode({x})), 2 * k + 1, 2)) AS BIGINT) FOR k IN range(strlen({x}))]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+RESAMPLING_SQL = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc_table),
+words AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{_WORDS}') AS w FROM documents),
+goal AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{_WORDS}')) AS x FROM benchmark),
+own AS MATERIALIZED (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM words) GROUP BY r, x),
+hashed AS MATERIALIZED (SELECT x, {_crc_sql("x")} % {resample.BUCKETS} AS b FROM (SELECT x FROM own UNION SELECT x FROM goal), crc),
+s AS (SELECT b, sum(n) AS n FROM own JOIN hashed USING (x) GROUP BY b), t AS (SELECT b, count(*) AS n FROM goal JOIN hashed USING (x) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM s) + {resample.BUCKETS} AS DOUBLE)
+  / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(n), 0) FROM t) + {resample.BUCKETS} AS DOUBLE)))) AS BIGINT) AS g FROM (SELECT DISTINCT b FROM hashed) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+sums AS (SELECT r, CAST(sum(n * g) AS BIGINT) AS total FROM own JOIN hashed USING (x) JOIN gain USING (b) GROUP BY r),
+weighed AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END AS weight,
+  CAST(('0x' || substr(sha256('{resample.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) AS h FROM words LEFT JOIN sums USING (r)),
+scored AS (SELECT doc_id, n, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT *, n >= {resample.LEAST} AS able, row_number() OVER (PARTITION BY n >= {resample.LEAST} ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) FILTER (n >= {resample.LEAST}) OVER () AS many FROM scored)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN able AND k <= {resample.PERCENT} * many // 100 THEN k END AS BIGINT) AS rank FROM placed
+"""
+
 #: The other operators learn, hash or place in ways that SQL can't express; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op9_warc": WARC_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op9_warc": WARC_SQL, "op12_resampling": RESAMPLING_SQL}
