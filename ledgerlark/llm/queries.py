@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, quality, resample, sharding, toxicity, warc
+from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, quality, resample, sharding, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
+    "op11_trie": op11_trie,
     "op12_resampling": op12_resampling,
 }
 
@@ -156,5 +161,25 @@ placed AS (SELECT *, n >= {resample.LEAST} AS able, row_number() OVER (PARTITION
 SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CAST(CASE WHEN able AND k <= {resample.PERCENT} * many // 100 THEN k END AS BIGINT) AS rank FROM placed
 """
 
+TRIE_SQL = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc_table),
+numbered AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+digested AS (SELECT conv_id, turn, len(text) AS chars, substr(sha256(len(role) || ':' || role || text), 1, 32) AS dg FROM numbered),
+own AS MATERIALIZED (SELECT conv_id AS c, chars, dg, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos FROM digested),
+convs AS MATERIALIZED (SELECT c, c - c % {trie.FAMILY} AS base, {_crc_sql("CAST(c AS VARCHAR)")} % {trie.CYCLE} AS h FROM (SELECT DISTINCT c FROM own), crc),
+lengths AS (SELECT c AS base, max(pos) AS n FROM own GROUP BY c),
+rebuilt AS (SELECT v.c, o.pos AS d, o.chars, o.dg FROM convs v JOIN own o ON o.c = v.base AND o.pos <= v.h
+  UNION ALL SELECT v.c, least(v.h, coalesce(l.n, 0)) + o.pos - v.h, o.chars, o.dg FROM convs v JOIN own o ON o.c = v.c AND o.pos > v.h LEFT JOIN lengths l ON l.base = v.base),
+paths AS MATERIALIZED (SELECT c, d, chars, sha256(string_agg(dg, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM rebuilt UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS MATERIALIZED (SELECT k, d, min(c) AS c, count(*) AS n, any_value(chars) AS chars FROM paths GROUP BY k, d),
+linked AS MATERIALIZED (SELECT n.*, p.k AS up FROM nodes n LEFT JOIN paths p ON p.c = n.c AND p.d = n.d - 1),
+children AS (SELECT up AS k, count(*) AS n FROM linked WHERE up IS NOT NULL GROUP BY up),
+subtree AS (SELECT p.k, sum((n.n - 1) * n.chars) AS saved, count(*) FILTER (n.k NOT IN (SELECT k FROM children)) AS leaves FROM nodes n JOIN paths p ON p.c = n.c AND p.d <= n.d GROUP BY p.k),
+ends AS (SELECT p.k, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) AS ids FROM paths p JOIN (SELECT c, max(d) AS d FROM paths GROUP BY c) m ON p.c = m.c AND p.d = m.d GROUP BY p.k)
+SELECT CAST(x.c AS BIGINT) AS conv_id, CAST(x.d AS BIGINT) AS depth, CAST(u.c AS BIGINT) AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(coalesce(ch.n, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM linked x LEFT JOIN nodes u ON x.up = u.k LEFT JOIN children ch ON ch.k = x.k JOIN subtree s ON s.k = x.k LEFT JOIN ends e ON e.k = x.k
+"""
+
 #: The other operators learn, hash or place in ways that SQL can't express; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op9_warc": WARC_SQL, "op12_resampling": RESAMPLING_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op9_warc": WARC_SQL, "op11_trie": TRIE_SQL, "op12_resampling": RESAMPLING_SQL}
