@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, licenses, mixing, quality, resample, sharding, toxicity, trie, warc
+from ledgerlark.llm import decontaminate, fingerprint, html_text, jaccard, language_model, licenses, mixing, quality, resample, sharding, toxicity, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_trie": op11_trie,
     "op12_resampling": op12_resampling,
+    "op13_language_model": op13_language_model,
 }
 
 MIXING_SQL = r"""
