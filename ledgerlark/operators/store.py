@@ -6,11 +6,8 @@ each id; children are recomputed from the document, never changed in place.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,42 +52,57 @@ def shredded_items(documents: DataFrame) -> DataFrame:
     )
 
 
-def extras(document: object) -> Iterator[tuple[str, str | None, str | None, str]]:
-    """(group path, name, type, value) of every entry of a TTKhac list, at any depth, in the order of the document."""
-    open_: list[tuple[object, str]] = [(document, "")]
-    while open_:
-        value, path = open_.pop()
-        if isinstance(value, dict):
-            entries = value.get("TTKhac")
-            for x in entries if isinstance(entries, list) else ():
-                if isinstance(x, dict):
-                    yield path or "HDon", x.get("TTruong"), x.get("KDLieu"), str(x.get("DLieu") or "")
-            below = [(child, f"{path}.{key}" if path else key) for key, child in value.items()]
-        else:
-            below = [(child, f"{path}[{i}]") for i, child in enumerate(value)] if isinstance(value, list) else []
-        open_ += reversed(below)
+VARIANT_MAP, VARIANT_LIST = "map<string,variant>", "array<variant>"
+#: Levels of the deepest document that can be parsed.
+DEEPEST = 1000
 
 
-def readable(text: str | None) -> object:
-    """The JSON document, or None if it isn't one."""
-    try:
-        return json.loads(text) if text else None
-    except ValueError:
-        return None
+def _said(value: Column, falsy: bool = True) -> Column:
+    """A JSON value as the text that is stored of it: true as True, groups as JSON. ``falsy``: null, false, zero and empty groups as the empty string, else null alone as null."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    group = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    written = F.when(kind == "BOOLEAN", F.initcap(text)).when(group, F.to_json(value)).otherwise(text)
+    if not falsy:
+        return written
+    nothing = F.when(kind == "STRING", F.lit(False)).when(group, written.isin("{}", "[]")).when(kind == "BOOLEAN", text == "false").otherwise(F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False)))
+    return F.when(nothing, "").otherwise(F.coalesce(written, F.lit("")))
 
 
-def shredded_extras(documents: DataFrame) -> DataFrame:
-    """invoice_id, group_path, field_name, data_type, field_value from ``documents`` (invoice_id, document_json). The tree has any depth and open keys, so it is
-    walked in Arrow batches. A document that can't be read has no entries; ``unreadable`` names it."""
+def _descended(state: Column) -> Column:
+    """One level down from the open nodes: their entries of extra groups are found, their members are open next."""
+    found_type = "array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>"
+    field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+
+    def entries(node: Column) -> Column:
+        path = F.when(node["path"] == "", "HDon").otherwise(node["path"])
+        rows = F.filter(F.try_variant_get(node["value"], "$.TTKhac", VARIANT_LIST), lambda x: F.try_variant_get(x, "$", VARIANT_MAP).isNotNull())
+        return F.coalesce(F.transform(rows, lambda x: F.struct(path.alias("group_path"), _said(field(x, "TTruong"), False).alias("field_name"), _said(field(x, "KDLieu"), False).alias("data_type"), _said(field(x, "DLieu")).alias("field_value"))), F.array().cast(found_type))
+
+    def members(node: Column) -> Column:
+        dot = F.when(node["path"] == "", "").otherwise(F.concat(node["path"], F.lit(".")))
+        named = F.transform(F.map_entries(F.try_variant_get(node["value"], "$", VARIANT_MAP)), lambda e: F.struct(F.concat(dot, e["key"]).alias("path"), e["value"].alias("value")))
+        listed = F.transform(F.try_variant_get(node["value"], "$", VARIANT_LIST), lambda e, i: F.struct(F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), e.alias("value")))
+        return F.coalesce(named, listed, F.array().cast("array<struct<path:string,value:variant>>"))
+
+    open_ = state["open"]
+    return F.struct(F.flatten(F.transform(open_, members)).alias("open"), F.concat(state["found"], F.flatten(F.transform(open_, entries))).alias("found"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["invoice_id", "group_path", "field_name", "data_type", "field_value"]
-        for batch in batches:
-            rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in extras(readable(text))]
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c if n == "invoice_id" else [None if v is None else str(v) for v in c], pa.int64() if n == "invoice_id" else pa.string()) for n, c in zip(names, columns)], names=names)
 
-    return documents.select(F.col("invoice_id").cast("long"), "document_json").mapInArrow(run, "invoice_id long, group_path string, field_name string, data_type string, field_value string")
+def extra_entries(document_json: Column) -> Column:
+    """group_path, field_name, data_type, field_value of every entry of a TTKhac list, at any depth, as an array; null for what can't be parsed. The levels are walked in the JVM, as many as the text has brackets at
+    most."""
+    brackets = F.length(document_json) - F.length(F.translate(document_json, "[{", ""))
+    none = F.array().cast("array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>")
+    value = F.try_parse_json(document_json)
+    start = F.struct(F.array(F.struct(F.lit("").alias("path"), value.alias("value"))).alias("open"), none.alias("found"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(brackets, F.lit(DEEPEST)))), start, lambda state, _: _descended(state), lambda state: state["found"])
+    return F.when(F.contains(document_json, F.lit("TTKhac")) | value.isNull(), F.when(value.isNotNull(), walked)).otherwise(none)
+
+
+def shredded_extras(documents: DataFrame) -> DataFrame:
+    """invoice_id, group_path, field_name, data_type, field_value from ``documents`` (invoice_id, document_json), within the rows' tasks and without Python. A document that can't be read, has a key twice or is nested deeper than ``DEEPEST`` has no entries;
+    ``unreadable`` names it."""
+    return documents.select("invoice_id", F.inline(extra_entries(F.col("document_json"))))
 
 
 def unreadable(documents: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def shred_extra_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.get_json_object("props", "$.k")
     entry = lambda name, value: F.concat(F.lit(f'{{"TTruong":"{name}","KDLieu":"string","DLieu":"'), value, F.lit('"}'))
     made = F.concat(F.lit('{"TTKhac":['), entry("type", F.col("event_type")), F.lit('],"NDHDon":{"DSHHDVu":[{},{"TTKhac":[7,'), entry("k", F.coalesce(n, F.lit(""))), F.lit("]}]}}"))
-    return store.shredded_extras(table(spark, sf_dir, "events").select(F.col("event_id").alias("invoice_id"), made.alias("document_json")))
+    return store.shredded_extras(derived.spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("invoice_id"), made.alias("document_json")))
 
 
 EXTRAS_SQL = """SELECT event_id AS invoice_id, 'HDon' AS group_path, 'type' AS field_name, 'string' AS data_type, event_type AS field_value FROM events

@@ -161,3 +161,32 @@ def test_written_tables(spark, tmp_path):
     d = spark.createDataFrame([(1, json.dumps(template()))], "invoice_id long, document_json string").withColumn("document", D.document_of_json(F.col("document_json")))
     D.written_tables(d, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/invoices").count() == 1 and spark.read.parquet(f"{tmp_path}/invoice_items").count() == 0
+
+
+def nested_xml(levels):
+    return ("<a>" * levels + "x" + "</a>" * levels).encode()
+
+
+def test_nothing_nested_ends_the_job(spark):
+    """Every reader gives a row for 200,000 levels of XML or JSON: an error, or no entries."""
+    deep = "[" * 200_000 + "]" * 200_000
+    files = spark.createDataFrame([("a.xml", nested_xml(5000)), ("b.xml", nested_xml(200_000)), ("c.json", ('{"x":' + deep + "}").encode()), ("d.xml", nested_xml(400)), ("e.txt", deep.encode()), ("f.json", b'{"TTChung":{"SHDon":"1"}}')], "path string, content binary")
+    got = {r.path: r for r in D.parsed(files).select("path", "error", F.col("document.TTChung.SHDon").alias("n")).collect()}
+    assert {p for p, r in got.items() if r.error} == {"a.xml", "b.xml", "c.json"} and "500 levels" in got["a.xml"].error and got["f.json"].n == "1"
+    docs = spark.createDataFrame([(1, deep), (2, '{"TTKhac":' + deep + "}"), (3, '{"X":' * 900 + '{"TTKhac":[{"TTruong":"t"}]}' + "}" * 900)], "invoice_id long, document_json string")
+    assert [(r.invoice_id, r.group_path.count("X"), r.field_name) for r in store.shredded_extras(docs).collect()] == [(3, 900, "t")]
+    assert sorted(r.invoice_id for r in store.unreadable(docs).collect()) == [1, 2]
+
+
+def test_extra_fields_as_they_are_stored(spark):
+    values = ['"0"', "0", "0.0", "1.50", "true", "false", "null", '""', "[]", "{}", '[1]', '{"a": "b"}', '"x"']
+    raw = '{"A.b":{"TTKhac":[%s, 5, []]},"TTKhac":{"TTruong":"no list"},"L":[[{"TTKhac":[{"TTruong":7,"KDLieu":true,"DLieu":"v","TTKhac":[{"TTruong":"in"}]}]}]]}' % ",".join(f'{{"TTruong":"t{i}","DLieu":{v}}}' for i, v in enumerate(values))
+    got = sorted(tuple(r)[1:] for r in store.shredded_extras(spark.createDataFrame([(1, raw), (2, "5"), (3, '"TTKhac"')], "invoice_id long, document_json string")).collect())
+    want = ["0", "", "", "1.5", "True", "", "", "", "", "", "[1]", '{"a":"b"}', "x"]
+    rows = [("A.b", f"t{i}", None, v) for i, v in enumerate(want)] + [("L[0][0]", "7", "True", "v"), ("L[0][0].TTKhac[0]", "in", None, "")]
+    assert got == sorted(rows)
+
+
+def test_xml_trees():
+    tree = D.xml_tree(b'<?xml version="1.0" encoding="ISO-8859-1"?><n:A xmlns:n="u" k="1"> t <B n:z="2">\xe9 <!-- c -->&amp;<![CDATA[<]]></B>tail<B/><C q="3"><D> </D></C></n:A>')
+    assert tree == {"A": {"B": ["é &<", ""], "C": {"D": "", "@q": "3"}, "@k": "1"}}
