@@ -35,6 +35,11 @@ def _core(typed: bool) -> list[Column]:
     return out
 
 
+def typed_core() -> list[Column]:
+    """The promoted fields of the column ``document``, as stored."""
+    return [c.alias(n) for n, c in zip(CORE, _core(True))]
+
+
 def core_fields(documents: DataFrame, typed: bool = False) -> DataFrame:
     """invoice_id and the 14 promoted fields; empty ones are '', the date and the amounts null. ``typed``: dates and decimals as stored."""
     return documents.select("invoice_id", *[c.alias(n) for n, c in zip(CORE, _core(typed))])
@@ -68,21 +73,32 @@ def _said(value: Column, falsy: bool = True) -> Column:
     return F.when(nothing, "").otherwise(F.coalesce(written, F.lit("")))
 
 
+ENTRIES = "array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>"
+NODES = "array<struct<path:string,named:map<string,variant>,listed:array<variant>>>"
+
+
+def _node(path: Column, value: Column) -> Column:
+    return F.struct(path.alias("path"), F.try_variant_get(value, "$", VARIANT_MAP).alias("named"), F.try_variant_get(value, "$", VARIANT_LIST).alias("listed"))
+
+
+def _groups(nodes: Column) -> Column:
+    return F.filter(nodes, lambda x: x["named"].isNotNull() | x["listed"].isNotNull())
+
+
 def _descended(state: Column) -> Column:
-    """One level down from the open nodes: their entries of extra groups are found, their members are open next."""
-    found_type = "array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>"
+    """One level down from the open groups: their entries of extra groups are found, the groups within them are open next."""
     field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
 
     def entries(node: Column) -> Column:
         path = F.when(node["path"] == "", "HDon").otherwise(node["path"])
-        rows = F.filter(F.try_variant_get(node["value"], "$.TTKhac", VARIANT_LIST), lambda x: F.try_variant_get(x, "$", VARIANT_MAP).isNotNull())
-        return F.coalesce(F.transform(rows, lambda x: F.struct(path.alias("group_path"), _said(field(x, "TTruong"), False).alias("field_name"), _said(field(x, "KDLieu"), False).alias("data_type"), _said(field(x, "DLieu")).alias("field_value"))), F.array().cast(found_type))
+        rows = F.filter(F.try_variant_get(F.try_element_at(node["named"], F.lit("TTKhac")), "$", VARIANT_LIST), lambda x: F.try_variant_get(x, "$", VARIANT_MAP).isNotNull())
+        return F.coalesce(F.transform(rows, lambda x: F.struct(path.alias("group_path"), _said(field(x, "TTruong"), False).alias("field_name"), _said(field(x, "KDLieu"), False).alias("data_type"), _said(field(x, "DLieu")).alias("field_value"))), F.array().cast(ENTRIES))
 
     def members(node: Column) -> Column:
         dot = F.when(node["path"] == "", "").otherwise(F.concat(node["path"], F.lit(".")))
-        named = F.transform(F.map_entries(F.try_variant_get(node["value"], "$", VARIANT_MAP)), lambda e: F.struct(F.concat(dot, e["key"]).alias("path"), e["value"].alias("value")))
-        listed = F.transform(F.try_variant_get(node["value"], "$", VARIANT_LIST), lambda e, i: F.struct(F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), e.alias("value")))
-        return F.coalesce(named, listed, F.array().cast("array<struct<path:string,value:variant>>"))
+        named = F.transform(F.map_entries(node["named"]), lambda e: _node(F.concat(dot, e["key"]), e["value"]))
+        listed = F.transform(node["listed"], lambda e, i: _node(F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]")), e))
+        return _groups(F.coalesce(named, listed, F.array().cast(NODES)))
 
     open_ = state["open"]
     return F.struct(F.flatten(F.transform(open_, members)).alias("open"), F.concat(state["found"], F.flatten(F.transform(open_, entries))).alias("found"))
@@ -90,13 +106,12 @@ def _descended(state: Column) -> Column:
 
 def extra_entries(document_json: Column) -> Column:
     """group_path, field_name, data_type, field_value of every entry of a TTKhac list, at any depth, as an array; null for what can't be parsed. The levels are walked in the JVM, as many as the text has brackets at
-    most."""
+    most; a document without a TTKhac list that holds anything isn't walked."""
     brackets = F.length(document_json) - F.length(F.translate(document_json, "[{", ""))
-    none = F.array().cast("array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>")
-    value = F.try_parse_json(document_json)
-    start = F.struct(F.array(F.struct(F.lit("").alias("path"), value.alias("value"))).alias("open"), none.alias("found"))
+    none, value = F.array().cast(ENTRIES), F.try_parse_json(document_json)
+    start = F.struct(_groups(F.array(_node(F.lit(""), value))).alias("open"), none.alias("found"))
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(brackets, F.lit(DEEPEST)))), start, lambda state, _: _descended(state), lambda state: state["found"])
-    return F.when(F.contains(document_json, F.lit("TTKhac")) | value.isNull(), F.when(value.isNotNull(), walked)).otherwise(none)
+    return F.when(F.rlike(document_json, F.lit(r'"TTKhac"\s*:\s*\[\s*[^\]\s]|\\u')), F.when(value.isNotNull(), walked)).otherwise(F.when(value.isNotNull(), none))
 
 
 def shredded_extras(documents: DataFrame) -> DataFrame:
@@ -112,14 +127,14 @@ def unreadable(documents: DataFrame) -> DataFrame:
 
 def created(drafts: DataFrame, now: Column) -> DataFrame:
     """Stored invoices of ``drafts`` (filename, content_type, ocr_enabled, extracted_text, document, document_json, source_base64): a new id, the promoted fields, the decoded source and both timestamps.
-    A draft whose source isn't strict base64 is refused: its row has an ``error`` and nothing else but the file's name."""
+    Drafts with a column ``invoice_id`` keep theirs. A new id is another one each time that the rows are computed, so they must be written before anything is derived from them, as ``saved.Save`` does. A draft whose source isn't strict base64 is refused: its row has an ``error`` and nothing else but the file's name."""
     strict = F.coalesce("source_base64", F.lit("")).rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-    rows = drafts.withColumn("invoice_id", F.uuid()).withColumn("_ok", strict)
+    rows = (drafts if "invoice_id" in drafts.columns else drafts.withColumn("invoice_id", F.uuid())).withColumn("_ok", strict)
     core = [F.when(F.col("_ok"), c).alias(n) for n, c in zip(CORE, _core(True))]
     kept = lambda c, name: F.when(F.col("_ok"), c).alias(name)
     return rows.select(
         kept(F.col("invoice_id"), "invoice_id"), F.coalesce(F.nullif("filename", F.lit("")), F.lit("invoice")).alias("source_filename"), kept(F.col("content_type"), "source_type"),
-        kept(F.coalesce("ocr_enabled", F.lit(False)), "ocr_enabled"), kept(F.col("extracted_text"), "ocr_text"), *core, kept(F.col("document_json"), "document_json"),
+        kept(F.coalesce("ocr_enabled", F.lit(False)), "ocr_enabled"), kept(F.col("extracted_text"), "ocr_text"), *core, kept(F.col("document"), "document"), kept(F.col("document_json"), "document_json"),
         F.when(F.col("_ok"), F.try_to_binary(F.coalesce("source_base64", F.lit("")), F.lit("base64"))).alias("source_data"), kept(F.lit("draft"), "status"), kept(now, "created_at"), kept(now, "updated_at"),
         F.when(~F.col("_ok"), F.lit("the source is not valid base64")).alias("error"),
     )

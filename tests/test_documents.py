@@ -157,12 +157,6 @@ def test_shredding_and_core_fields(spark):
     assert sorted(tuple(r)[1:] for r in store.shredded_extras(d).collect()) == [("HDon", "r", None, "v"), ("NDHDon.DSHHDVu[0]", "a", "n", "")]
 
 
-def test_written_tables(spark, tmp_path):
-    d = spark.createDataFrame([(1, json.dumps(template()))], "invoice_id long, document_json string").withColumn("document", D.document_of_json(F.col("document_json")))
-    D.written_tables(d, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/invoices").count() == 1 and spark.read.parquet(f"{tmp_path}/invoice_items").count() == 0
-
-
 def nested_xml(levels):
     return ("<a>" * levels + "x" + "</a>" * levels).encode()
 
