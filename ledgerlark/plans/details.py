@@ -311,8 +311,8 @@ def job_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty requests where twelve jobs may be active."""
     e = records._events(spark, sf_dir)
     requests = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select((-F.col("n_nationkey") - 1).cast("long").alias("job_id"))
-    jobs, progress = J.submitted(J.jobs(e), J.progress(e), requests, F.lit(records._now(spark, sf_dir)), 12)
-    return jobs.join(progress, "job_id", "left").select("job_id", "status", "changed", "expires", "heartbeat")
+    after = J.submitted_state(J.folded(e), requests, F.lit(records._now(spark, sf_dir)), 12)
+    return after.select("job_id", "status", "changed", "expires", "heartbeat")
 
 
 ADMISSION_SQL = f"""WITH {records.SQL_JOBS}, alive AS (SELECT * FROM jobs, clock WHERE expires >= now),

@@ -63,22 +63,6 @@ def test_jobs(spark):
     assert sorted((r.job_id, r.message) for r in J.status(jobs, progress, F.lit(4000.0)).collect()) == [(2, "m1"), (4, None)]
 
 
-def test_job_stream(spark, tmp_path):
-    e = spark.createDataFrame([(i, at + 1000, *rest) for i, at, *rest in EVENTS], "job_id long, at double, kind string, message string").withColumn("ts", F.timestamp_seconds("at"))
-    e.filter("at < 1008").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 seconds")
-    q = J.job_stream(stream).writeStream.outputMode("update").format("memory").queryName("jobs_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-        e.filter("at >= 1008").unionByName(spark.createDataFrame([(9, 3000.0, "queued", None)], "job_id long, at double, kind string, message string").withColumn("ts", F.timestamp_seconds("at"))).write.mode("append").parquet(str(tmp_path / "in"))
-        q.processAllAvailable()
-        q.processAllAvailable()
-        seen = [(r.job_id, r.status) for r in spark.table("jobs_out").collect()]
-    finally:
-        q.stop()
-    assert (1, "running") in seen and (1, "completed") in seen and (1, "failed") not in seen and (4, "failed") in seen and (2, "failed") in seen
-
-
 def test_one_bad_document_does_not_end_the_job(spark):
     docs = spark.createDataFrame([(1, '{"TTKhac":[{"TTruong":"a","DLieu":1}]}'), (2, "{bad"), (3, None), (4, '[{"X":{"TTKhac":[{"TTruong":"b"},7]}}]')], "invoice_id long, document_json string")
     assert sorted(tuple(r) for r in store.shredded_extras(docs).collect()) == [(1, "HDon", "a", None, "1"), (4, "[0].X", "b", None, "")]
