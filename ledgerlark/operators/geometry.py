@@ -6,21 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.scan import clusters, clusters_within, containing, coverage, coverage_within
 
-def clusters(values: DataFrame, tolerance: float = 8.0) -> DataFrame:
-    """g, cluster, n, middle of ``values`` (g, v): sorted values whose gap to the one before is within the tolerance belong
-    together; the middle is their median."""
-    order = W.partitionBy("g").orderBy("v")
-    starts = F.coalesce(F.col("v") - F.lag("v").over(order) > tolerance, F.lit(False)).cast("int")
-    marked = values.withColumn("new", starts).withColumn("cluster", F.sum("new").over(order.rangeBetween(W.unboundedPreceding, W.currentRow)))
-    return marked.groupBy("g", "cluster").agg(F.count("*").alias("n"), F.median("v").alias("middle"))
-
-
-def coverage(intervals: DataFrame) -> DataFrame:
-    """g, covered: the length of the union of ``intervals`` (g, lo, hi). Each adds what reaches beyond the furthest end before it."""
-    before = W.partitionBy("g").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max("hi").over(before)
-    return intervals.withColumn("add", F.greatest(F.lit(0.0), F.col("hi") - F.greatest(F.col("lo"), F.coalesce(reach, F.col("lo"))))).groupBy("g").agg(F.sum("add").alias("covered"))
+__all__ = ["boundaries", "bucketed_rules", "chunked", "clusters", "containing", "coverage", "grid", "joined_words", "largest_neighbourhood", "recovered_rows", "ruled_table", "skew"]
 
 
 def largest_neighbourhood(values: DataFrame, distance: float, least: int = 1) -> DataFrame:
@@ -52,15 +40,6 @@ def boundaries(anchors: DataFrame, rules: DataFrame, margin: float = 4.0, least:
     return whole.filter("all").select("g", "lo", "hi", "y")
 
 
-def containing(points: DataFrame, intervals: DataFrame, width: float = 16.0) -> DataFrame:
-    """g, id, k: for each point (g, id, v) the first interval (g, k, lo, hi), by k, that holds it, ends included. Points without one are left out. They meet in cells of ``width``, which should be about
-    the length of an interval."""
-    cell = lambda c: F.floor(F.col(c) / width)
-    spans = intervals.filter("lo <= hi").select(F.col("g").alias("h"), "k", "lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell2"))
-    met = points.withColumn("cell", cell("v")).join(spans, (F.col("g") == F.col("h")) & (F.col("cell") == F.col("cell2")) & F.col("v").between(F.col("lo"), F.col("hi")))
-    return met.groupBy("g", "id").agg(F.min("k").alias("k"))
-
-
 def ruled_table(rules: DataFrame, pages: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """g, xs, ys of pages (g, width, height) with a ruled table among their rules (g, id, x0, y0, x1, y1), as arrays: at least six vertical rules longer than 15 % of the page whose upper ends lie within 1.2 % of its height of
     one of them (the one with the most; the smallest id on ties), at six places or more over half the width; the horizontal rules between their ends that span half of that, with both ends."""
@@ -72,7 +51,7 @@ def ruled_table(rules: DataFrame, pages: DataFrame, tolerance: float = 8.0) -> D
     first = long.join(anchor, (F.col("g") == F.col("h")) & (F.col("id") == F.col("anchor"))).select(F.col("g").alias("h"), F.col("top").alias("at"))
     group = long.join(first, (F.col("g") == F.col("h")) & (F.abs(F.col("top") - F.col("at")) < 0.012 * F.col("height")))
     sides = group.groupBy("g").agg(F.median("top").alias("top"), F.min("bottom").alias("bottom"), F.max("width").alias("width"))
-    middles = lambda values: clusters(values, tolerance).groupBy("g").agg(F.array_sort(F.collect_list("middle")).alias("at"))
+    middles = lambda values: clusters_within(values, tolerance).groupBy("g").agg(F.array_sort(F.collect_list("middle")).alias("at"))
     xs = middles(group.select("g", F.col("x0").cast("double").alias("v"))).select(F.col("g").alias("x"), F.col("at").alias("xs"))
     span = F.element_at("xs", -1) - F.get("xs", F.lit(0))
     table = sides.join(xs, F.col("g") == F.col("x")).filter((F.size("xs") >= 6) & (span >= 0.5 * F.col("width"))).select(F.col("g").alias("t"), "xs", F.col("top").alias("upper"), F.col("bottom").alias("lower"), span.alias("span"))
@@ -121,7 +100,7 @@ def bucketed_rules(rules: DataFrame, width: float = 6.0) -> DataFrame:
     """g, y, covered: horizontal rules (g, y, lo, hi) gathered at multiples of ``width`` (halves to even) with the length that they cover."""
     own = rules.select("g", "lo", "hi", (F.bround(F.col("y") / width) * width).alias("y"))
     keyed = own.select(F.struct("g", "y").alias("g"), "lo", "hi")
-    return coverage(keyed).select("g.g", "g.y", "covered")
+    return coverage_within(keyed).select("g.g", "g.y", "covered")
 
 
 def joined_words(words: DataFrame, separator: str = " ") -> DataFrame:
