@@ -233,6 +233,12 @@ def like_ascii(c: Column | str, query: str) -> Column:
     return F.like(ascii_lower(c), F.lit(f"%{folded}%"), F.lit("\x01"))
 
 
+def stored_json(c: Column | str) -> Column:
+    """A struct, map, list or variant as the JSON text that is stored: nulls kept, a space after each comma and colon that isn't part of a string. So a search for ``"STT": "1"`` finds it."""
+    text = F.to_json(col(c), {"ignoreNullFields": "false"})
+    return F.regexp_replace(text, r'\G((?:[^",:]++|"(?:[^"\\]++|\\.)*+")*+)([,:])', "$1$2 ")
+
+
 def within(a: Column, b: Column, tolerance: int = 1) -> Column:
     """Amounts that differ by no more than the tolerance; exactly the tolerance passes."""
     return F.abs(a - b) <= tolerance

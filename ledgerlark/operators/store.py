@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import blank, date_any, decimal_lenient, integer_or, like_ascii
+from ledgerlark.functions.scalars import blank, date_any, decimal_lenient, integer_or, like_ascii, stored_json
 
 # Where the promoted fields stand in the document.
 CORE = {
@@ -53,7 +53,7 @@ def shredded_items(documents: DataFrame) -> DataFrame:
         "invoice_id", integer_or(x["STT"], F.col("at") + 1).alias("line_number"), x["MHHDVu"].alias("item_code"), x["THHDVu"].alias("description"), x["DVTinh"].alias("unit"),
         decimal_lenient(x["SLuong"]).alias("quantity"), decimal_lenient(x["DGia"]).alias("unit_price"), decimal_lenient(x["TLCKhau"]).cast("decimal(9,4)").alias("discount_rate"),
         decimal_lenient(x["STCKhau"]).alias("discount_amount"), decimal_lenient(x["ThTien"]).alias("amount"), x["TSuat"].alias("tax_rate"), decimal_lenient(x["TThue"]).alias("tax_amount"),
-        F.to_json(x).alias("item_json"),
+        stored_json(x).alias("item_json"),
     )
 
 
