@@ -68,9 +68,9 @@ def _said(value: Column, falsy: bool = True) -> Column:
     group = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
     written = F.when(kind == "BOOLEAN", F.initcap(text)).when(group, F.to_json(value)).otherwise(text)
     if not falsy:
-        return written
+        return F.when(kind == "STRING", text).otherwise(written)
     nothing = F.when(kind == "STRING", F.lit(False)).when(group, written.isin("{}", "[]")).when(kind == "BOOLEAN", text == "false").otherwise(F.coalesce(F.try_variant_get(value, "$", "double") == 0, F.lit(False)))
-    return F.when(nothing, "").otherwise(F.coalesce(written, F.lit("")))
+    return F.when(kind == "STRING", text).when(nothing, "").otherwise(F.coalesce(written, F.lit("")))  # most are strings: nothing else is looked at
 
 
 ENTRIES = "array<struct<group_path:string,field_name:string,data_type:string,field_value:string>>"
@@ -91,7 +91,7 @@ def _descended(state: Column) -> Column:
 
     def entries(node: Column) -> Column:
         path = F.when(node["path"] == "", "HDon").otherwise(node["path"])
-        rows = F.filter(F.try_variant_get(F.try_element_at(node["named"], F.lit("TTKhac")), "$", VARIANT_LIST), lambda x: F.try_variant_get(x, "$", VARIANT_MAP).isNotNull())
+        rows = F.filter(F.try_variant_get(F.try_element_at(node["named"], F.lit("TTKhac")), "$", VARIANT_LIST), lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
         return F.coalesce(F.transform(rows, lambda x: F.struct(path.alias("group_path"), _said(field(x, "TTruong"), False).alias("field_name"), _said(field(x, "KDLieu"), False).alias("data_type"), _said(field(x, "DLieu")).alias("field_value"))), F.array().cast(ENTRIES))
 
     def members(node: Column) -> Column:

@@ -55,3 +55,12 @@ def test_readers(spark):
     assert values(spark, ["t"], S.reader("v", F.lit("text/xml")), S.reader("v", F.lit("text/plain")), S.reader("v", None, True)) == [("xml", "text", "image")]
     with pytest.raises(ValueError):
         S.checked_engine("other")
+
+
+def test_stored_json(spark):
+    import json
+
+    values = ['a"b\\,: ', "x" * 5000, '"' * 3000, "é,:", "", None]
+    rows = spark.createDataFrame([(v, None, {"k,": "v:"}, [1, 2]) for v in values], "a string, b string, m map<string,string>, l array<int>")
+    got = [r.j for r in rows.select(S.stored_json(F.struct("a", "b", "m", "l")).alias("j")).collect()]
+    assert got == [json.dumps({"a": v, "b": None, "m": {"k,": "v:"}, "l": [1, 2]}, ensure_ascii=False) for v in values]
