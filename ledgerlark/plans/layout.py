@@ -86,14 +86,17 @@ LINES_SQL = f"""WITH {STROKES_SQL} SELECT g, round(CASE WHEN across THEN lo ELSE
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of documents set on pages of two columns below a title, a little askew, and read back from their boxes."""
     words = F.filter(F.split(F.translate("text", "\t\n\r\u000b\f ", "      "), " +"), lambda w: w != "")
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("i", "text"))
-    page, k = F.floor(F.col("i") / 203), F.pmod("i", F.lit(203))
+    sheets = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 203)).cast("int")), lambda p: F.struct(p.alias("page"), F.slice("words", p * 203 + 1, 203).alias("words")))
+    own = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0).select("doc_id", F.explode(sheets).alias("s"))
+    moved = own.select(F.concat_ws(":", "doc_id", "s.page").alias("g"), "s.page", "s.words").repartition("g")  # as texts: the boxes made of them are wider and stay where they are
+    w = moved.select("g", F.posexplode("words").alias("k", "text"), "page").withColumn("i", F.col("page") * 203 + F.col("k"))
+    k = F.col("k")
     body = k - 3
     column, row, place = F.floor(body / 100), F.floor(F.pmod(body, F.lit(100)) / 5), F.pmod(body, F.lit(5))
     title = k < 3
     x0 = F.when(title, 150.0 + k * 45).otherwise(20.0 + column * 300 + place * 50)
     y0 = F.when(title, 20.0).otherwise(60.0 + row * 13) + F.pmod("i", F.lit(3))
-    boxes = w.select(F.concat_ws(":", "doc_id", page).alias("g"), F.col("i").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 10).alias("y1"), "text")
+    boxes = w.select("g", F.col("i").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 10).alias("y1"), "text")
     return layout.reading_order(boxes).select("g", F.md5("text").alias("text"))
 
 
