@@ -4,11 +4,13 @@ Builder: void and raw-text elements, comments, character references; a start tag
 parts), table rows and bodies are implied, a stray end tag is ignored, what is open at the end is closed. Elements nest as deep as they like: neither the builder nor the renderer
 calls itself.
 
-Visibility: head, scripts, styles, templates and the like, ``hidden``, ``display:none`` and hidden inputs give nothing with all they hold;
+Visibility: head, scripts, styles, templates and the like, ``hidden``, ``display:none``, hidden inputs and dialogs that aren't open give nothing with all they hold;
 ``visibility:hidden`` gives nothing but descendants made visible again; the content of a closed ``details`` is hidden but for its summary.
 
 Rendering: blocks begin on lines of their own, paragraphs and the like are set off by an empty line, white space is collapsed except in
 ``pre``; list items have their bullet or number and are indented by nesting, as far as the first ``LEVELS`` levels; the cells of a table stand in columns of equal width, spans included.
+Two cells in a line always have ``GAP`` between them. Cells longer than ``CELL`` don't widen their column, and columns that would begin beyond ``ALIGNED`` characters aren't aligned, so that a line of a
+table is never longer than the text of its cells and ``ALIGNED`` spaces for each: a page's text grows with its html, whatever its tables hold.
 
 Nulls: null html gives an empty text and title. A null page_id or url is kept. Repeated rows are rendered each. An empty table gives
 an empty result. Columns besides page_id, url and html are not read.
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 LEVELS = 40
 #: Columns that one cell may span.
 SPAN = 1000
+#: Spaces between two cells; characters of the longest cell that columns are widened for, and how far into a line columns are aligned.
+GAP, CELL, ALIGNED = 2, 80, 160
 
 # Names of elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg datalist area param source track meta link base rp dialog".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist area param source track meta link base rp desc metadata defs symbol".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section nav aside header footer main form fieldset menu address hr".split())
-LINED = frozenset("div li dt dd tr caption legend figcaption details summary html body center dir hgroup optgroup option search thead tbody tfoot td th".split())
+LINED = frozenset("div dialog li dt dd tr caption legend figcaption details summary html body center dir hgroup optgroup option search thead tbody tfoot td th".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag: the open elements that it closes, and those beyond which it doesn't look.
@@ -231,7 +235,7 @@ class Page:
 
 def _hidden(node: Node, said: dict[str, str]) -> bool:
     style = said.get("style", "").lower().replace(" ", "")
-    return "hidden" in said or "display:none" in style or (node.tag == "input" and said.get("type", "").lower() == "hidden")
+    return "hidden" in said or "display:none" in style or (node.tag == "dialog" and "open" not in said) or (node.tag == "input" and said.get("type", "").lower() == "hidden")
 
 
 def _number(value: str | None, usual: int) -> int:
@@ -272,7 +276,7 @@ def _steps(node: Node, page: Page, seen: bool, pre: bool, items: list | None) ->
         if tag in UNSEEN:
             continue
         said = x.attributes()
-        if said and _hidden(x, said):
+        if (said or tag == "dialog") and _hidden(x, said):
             continue
         shown = seen
         if said and (found := re.search(r"visibility\s*:\s*(\w+)", said.get("style", ""), re.I)):
@@ -381,32 +385,46 @@ def _table(table: Node, page: Page, seen: bool) -> Iterator[Step]:
             if taken[k] <= 0:
                 del taken[k]
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for column, wide, lines in cells:
-            if wide == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
-    for cells in grid:
-        for column, wide, lines in cells:
-            if wide > 1:
-                have = sum(widths.get(k, 0) + 2 for k in range(column, column + wide)) - 2
-                if (lack := max(map(len, lines), default=0) - have) > 0:
-                    widths[column + wide - 1] = widths.get(column + wide - 1, 0) + lack
-    starts: dict[int, int] = {}
-    at = 0
-    for k in sorted(widths):
-        starts[k] = at
-        at += widths[k] + 2 if widths[k] else 0
+    starts = _starts(grid)
     for cells in grid:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
             for column, _, lines in cells:
                 if i < len(lines) and lines[i]:
-                    line = line.ljust(starts.get(column, 0)) + lines[i]
-                    line += "  " if column + 1 in starts and len(line) >= starts[column + 1] else ""
+                    own = starts.get(column, 0)
+                    # what begins a line may be a table's line, indented by its own columns: no further than ALIGNED in all
+                    line = line.ljust(max(own, len(line) + GAP) if line else min(own, max(0, ALIGNED - len(lines[i]) + len(lines[i].lstrip())))) + lines[i]
             page.line(line.rstrip())
 
 
+def _starts(grid: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+    """Where in a line the columns begin that hold cells, as far as they are aligned."""
+    widths: dict[int, int] = {}
+    spanning = []
+    for cells in grid:
+        for column, wide, lines in cells:
+            widths.setdefault(column, 0)
+            size = max((n for n in map(len, lines) if n <= CELL), default=0)
+            if wide == 1:
+                widths[column] = max(widths[column], size)
+            elif size:
+                spanning.append((column, wide, size))
+    for column, wide, size in spanning:
+        have = sum(widths[k] + GAP for k in range(column, column + wide) if widths.get(k)) - GAP
+        if size > max(have, 0):
+            last = column + wide - 1
+            # a last column without a width gets a gap of its own, which the span covers
+            more = size - (have + GAP if have > 0 and not widths.get(last) else max(have, 0))
+            widths[last] = widths.get(last, 0) + max(more, 0)
+    starts, at = {}, 0
+    for k in sorted(widths):
+        if at > ALIGNED:
+            break
+        starts[k] = at
+        at += widths[k] + GAP if widths[k] else 0
+    return starts
+
+
 def extracted(html: str | None) -> tuple[str, str]:
     """(title, text) of a page."""
     root = parsed(html or "")

@@ -29,6 +29,13 @@ from ledgerlark.llm import html_text as H
         ("</p></div>stray", "stray"),
         ("<p>a<table><td>b</table>c", "a\n\nb\n\nc"),
         ("<select><option>one<option>two</select>", "one\ntwo"),
+        ("<table><tr><td>Total</td><td colspan=3>12</td></table>", "Total  12"),
+        ("<table><tr><th colspan=2>Hi<th>x</table>", "Hi  x"),
+        ("<table><tr><th colspan=2>Hi<th>x<tr><td colspan=2>Hello<td>y</table>", "Hi     x\nHello  y"),
+        ("<table><tr><td>Total</td><td colspan=3>12</td><tr><td>Sum<td>1<td>2<td>3</table>", "Total  12\nSum    1  2  3"),
+        ("<table><tr><td>" + "w" * 300 + "<td>x<tr><td>a<td>b</table>", "w" * 300 + "  x\na  b"),
+        ("<dialog open>a</dialog><dialog>b</dialog>c", "a\nc"),
+        ("<svg><title>t</title><desc>d</desc><text>seen</text></svg>", "seen"),
         ("", ""),
     ],
 )
@@ -52,6 +59,23 @@ def test_hidden_text_stays_hidden_at_any_depth(depth):
     assert H.extracted("<table><td><p>" + "<div>" * depth + "<span style='visibility:hidden'>SECRET</span>y")[1] == "y"
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<table><tr><td>" + "a" * 200_000 + "<td>x" + "<tr><td>b<td>c" * 4000 + "</table>",
+        "<table><tr>" + ("<td>" + "a" * 40) * 1000 + "<tr><td colspan=999><td>x" * 4000 + "</table>",
+        ("<table><tr><td>" + "a" * 70 + "<td>") * 200 + "<br>x" * 4000,
+        ("<table><tr><td>" + "a" * 70 + "<tr><td><td>") * 100 + "<br>x" * 4000,
+        "<table>" + ("<tr><td colspan=7>" + "a" * 60 + "<td>z") * 300 + "</table>",
+    ],
+    ids=["long cell", "many columns", "nested beside", "nested below", "spans"],
+)
+def test_text_of_tables_grows_with_the_html(html):
+    text = H.extracted(html)[1]
+    assert len(text) <= 40 * len(html)
+    assert text.count("a") == html.count("a") - html.count("table") - html.count("colspan")
+
+
 def made(rng, depth=0):
     """(html, lines) of a random tree, its lines by another way: from the tree itself, without any parsing."""
     word = f"w{rng.randrange(1000)}"
