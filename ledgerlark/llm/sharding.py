@@ -2,7 +2,9 @@
 
 Every record is hashed into one of ``SLOTS`` slots that never change. The bytes of each slot are summed, and a small
 versioned map, stored as Parquet, says which shard holds which slot; moving data means editing that map, never rehashing records. The first run over a path stores version 1, and
-every run takes its shards from the latest version that is stored; for more shards it stores an edited version, in which slots move to the new shards only.
+every run takes its shards from the latest version that is stored; for more shards it stores an edited version, in which slots move to the new shards only, for fewer shards one in which only the slots of those that go
+move. Where the corpus has changed so much that a shard is more than ``BAND`` above its fair share, slots move from the fullest shards to the emptiest until it is even again. A version is one file that appears
+when it is complete; what a writer left that was lost before that isn't read, and the next one replaces it. One writer at a time.
 Everything that touches records is DataFrame functions; only the map (``SLOTS`` rows at any input size) is handled
 on the driver.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from bisect import bisect_right, insort
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,8 @@ from ledgerlark.llm.shared import fresh_path
 SLOTS = 8192
 #: Bytes counted for a record besides its text.
 OVERHEAD = 16
+#: How far above its fair share a shard of a stored map may come before the map is edited, and how far it may be afterwards.
+BAND, EVEN = 0.2, 0.01
 
 
 def _element(values: list[int], index: Column) -> Column:
@@ -117,12 +122,58 @@ def rebalanced(placed: list[int], sums: dict[int, tuple[int, int]], n_shards: in
     return placed
 
 
+def shrunk(placed: list[int], sums: dict[int, tuple[int, int]], n_shards: int) -> list[int]:
+    """The map edited for fewer shards: the slots of those that go, the heaviest first, each to the lightest that stays; no other slot moves."""
+    load = [0] * n_shards
+    for slot, (size, _) in sums.items():
+        if placed[slot] < n_shards:
+            load[placed[slot]] += size
+    heap = [(b, shard) for shard, b in enumerate(load)]
+    heapq.heapify(heap)
+    out = [shard if shard < n_shards else slot % n_shards for slot, shard in enumerate(placed)]
+    for slot in sorted((s for s in sums if placed[s] >= n_shards), key=lambda s: (-sums[s][0], s)):
+        least, out[slot] = heapq.heappop(heap)
+        heapq.heappush(heap, (least + sums[slot][0], out[slot]))
+    return out
+
+
+def levelled(placed: list[int], sums: dict[int, tuple[int, int]], n_shards: int) -> list[int]:
+    """The map itself if no shard is more than ``BAND`` above the fair share; else edited: the fullest shard gives the emptiest a slot of at most half their difference, until all are within
+    ``EVEN`` of the fair share or have no such slot."""
+    load = [0] * n_shards
+    held: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
+    for slot, (size, _) in sums.items():
+        load[placed[slot]] += size
+        held[placed[slot]].append((size, slot))
+    fair = sum(load) / n_shards
+    if max(load) <= fair * (1 + BAND):
+        return placed
+    placed = list(placed)
+    for own in held:
+        own.sort()
+    full = set(range(n_shards))
+    while full:
+        donor, taker = max(full, key=lambda k: (load[k], k)), min(range(n_shards), key=lambda k: (load[k], k))
+        if load[donor] <= fair * (1 + EVEN):
+            break
+        at = bisect_right(held[donor], ((load[donor] - load[taker]) // 2, len(placed))) - 1
+        if at < 0 or held[donor][at][0] == 0:
+            full.remove(donor)
+            continue
+        size, slot = held[donor].pop(at)
+        insort(held[taker], (size, slot))
+        placed[slot] = taker
+        load[donor] -= size
+        load[taker] += size
+    return placed
+
+
 def save_map(spark: SparkSession, placed: list[int], path: str, version: int, hot: list[int] | None = None) -> None:
-    """Stores one version of the map, and of the hot groups; earlier versions stay readable."""
+    """Stores one version of the map, and of the hot groups, as one file, in place of what a lost writer may have left of it; earlier versions stay readable."""
     rows = spark.range(len(placed)).select(F.col("id").cast("int").alias("slot"), _element(placed, F.col("id")).cast("int").alias("shard"), F.lit(None).cast("long").alias("hot"))
     groups = F.explode(F.array(*map(F.lit, hot or [])).cast("array<bigint>"))
     rows = rows.unionByName(spark.range(1).select(F.lit(None).cast("int").alias("slot"), F.lit(None).cast("int").alias("shard"), groups.alias("hot")))
-    rows.coalesce(1).write.parquet(f"{path}/version={version}")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
@@ -142,19 +193,22 @@ def latest_version(spark: SparkSession, path: str) -> int:
 
 
 def stored_map(records: DataFrame, path: str, n_shards: int, slots: int = SLOTS) -> tuple[DataFrame, dict[int, tuple[int, int]], list[int]]:
-    """The slotted records, their slots' sums and the map as the latest stored version has it. Stores the first one, or an edited one if there are more shards or further hot groups than it knows."""
+    """The slotted records, their slots' sums and the map as the latest stored version has it. Stores the first one, or an edited one if there are more or fewer shards, further hot groups than it knows, or a shard that has
+    outgrown its share."""
     spark = records.sparkSession
     version = latest_version(spark, path)
     known = load_hot(spark, path, version) if version else []
     hot = sorted({*known, *hot_groups(records, n_shards, slots)})
     own = slotted(records, hot, slots)
     sums = slot_sums(own)
-    placed = load_map(spark, path, version) if version else []
+    placed = stored = load_map(spark, path, version) if version else []
     if not version:
-        save_map(spark, first_map(sums, n_shards, slots), path, 1, hot)
-    elif n_shards > max(placed) + 1:
-        save_map(spark, rebalanced(placed, sums, n_shards), path, version + 1, hot)
-    elif hot != known:
+        placed = first_map(sums, n_shards, slots)
+    else:
+        have = max(stored) + 1
+        placed = rebalanced(stored, sums, n_shards) if n_shards > have else shrunk(stored, sums, n_shards) if n_shards < have else stored
+        placed = levelled(placed, sums, n_shards)
+    if placed != stored or hot != known:
         save_map(spark, placed, path, version + 1, hot)
     return own, sums, load_map(spark, path, latest_version(spark, path))
 

@@ -110,3 +110,53 @@ def test_one_repeated_row_is_a_third_of_all(spark):
     data = [(i, f"text {i}", "s", 1, "") for i in range(600)] + [(7, "again", "s", 1, "")] * 300
     shards = check(sharding.shard_documents(rows(spark, data), 5).collect(), data, 5)
     assert sum(len(x) for x in shards.values()) == 900
+
+
+def test_fewer_shards_move_only_what_must(spark, tmp_path):
+    path = str(tmp_path / "slots")
+    data = [(i, f"text {i}", "s", 1, "") for i in range(2000)]
+    run = lambda n: sharding.shard_documents(rows(spark, data), n, path=path).collect()
+    first = {r.doc_id: r.shard for r in run(10)}
+    out = run(5)
+    loads = [sum(r.size for r in own) for own in check(out, data, 5).values()]
+    assert all(r.shard == first[r.doc_id] for r in out if first[r.doc_id] < 5) and len(loads) == 5 and max(loads) - min(loads) <= 80
+    assert sharding.latest_version(spark, path) == 2
+
+
+def test_a_grown_corpus_is_levelled(spark, tmp_path):
+    path = str(tmp_path / "slots")
+    data = [(i, f"text {i}", "s", 1, "") for i in range(1000)]
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(rows(spark, data), 6, path=path).collect()}
+    more = data + [(i, f"text {i} " + "x" * 500, "s", 1, "") for i in range(1000, 4000) if i % 3 == 0 or sharding_home(i) < 2000]
+    out = sharding.shard_documents(rows(spark, more), 6, path=path).collect()
+    loads = [sum(r.size for r in own) for own in check(out, more, 6).values()]
+    assert max(loads) <= sum(loads) / 6 * (1 + sharding.BAND) and first
+
+
+def sharding_home(i):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest((f"text {i} " + "x" * 500).encode(), seed=42)
+    return (h - 2**64 if h >= 2**63 else h) % sharding.SLOTS
+
+
+def test_levelled_moves_little_and_ends():
+    placed = [s % 4 for s in range(64)]
+    even = {s: (10, 1) for s in range(64)}
+    assert sharding.levelled(placed, even, 4) is placed
+    uneven = {s: (100 if s % 4 == 0 else 10, 1) for s in range(64)}
+    out = sharding.levelled(placed, uneven, 4)
+    load = [sum(uneven[s][0] for s in range(64) if out[s] == k) for k in range(4)]
+    assert max(load) <= 1.2 * sum(load) / 4 and max(load) - min(load) < 2 * 100 and all(out[s] == placed[s] for s in range(64) if placed[s])
+    assert sharding.levelled(placed, {0: (10**6, 1), 4: (5, 1), 1: (5, 1)}, 4)[0] == 0
+    assert sharding.levelled(placed, {}, 4) is placed
+
+
+def test_a_lost_writer_leaves_nothing_that_is_read(spark, tmp_path):
+    path = tmp_path / "slots"
+    data = [(i, f"text {i}", "s", 1, "") for i in range(200)]
+    sharding.shard_documents(rows(spark, data), 4, path=str(path)).collect()
+    (path / "version=2" / "_temporary" / "0").mkdir(parents=True)
+    assert sharding.latest_version(spark, str(path)) == 1
+    check(sharding.shard_documents(rows(spark, data), 5, path=str(path)).collect(), data, 5)
+    assert sharding.latest_version(spark, str(path)) == 2 and max(sharding.load_map(spark, str(path), 2)) == 4
