@@ -1,19 +1,18 @@
 """Pages to finished invoices: texts and tables of a document become its fields, lines, totals, rates and warnings.
 
-Everything meets by document: one aggregation of pages, one of what tables state, one of lines, which also finds what speaks against them. No step looks across documents.
+Everything meets by document: one aggregation of pages, one of the rows of tables (lines, totals and rates together), and one of lines, which finds what speaks against them. Pages and rows are each shuffled once, by document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.scalars import blank, decimal_strict
 from ledgerlark.operators import labels, tables, validate
 
 PAGE_BREAK = "\n\f\n"
-TOTALS = ("TgTCThue", "TgTThue", "TgTTTBSo")
+TOTALS = tables.TOTALS
 
 
 def joined_pages(pages: DataFrame) -> DataFrame:
@@ -26,6 +25,13 @@ def first_filled(own: Column, other: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(other)
 
 
+def _other(lines: DataFrame, per: DataFrame) -> DataFrame:
+    """doc_id and lines from elsewhere in the form and order of those of ``per``; what they lack is null."""
+    of = per.schema["lines"].dataType.elementType
+    line = F.struct(*[(F.col(f.name) if f.name in lines.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in of])
+    return lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("_other"))
+
+
 def finished(pages: DataFrame, rows: DataFrame, other_lines: DataFrame | None = None) -> DataFrame:
     """doc_id, number, issued, the three totals, rates, lines, warnings.
 
@@ -34,32 +40,30 @@ def finished(pages: DataFrame, rows: DataFrame, other_lines: DataFrame | None =
     subtotal; warnings are rule numbers, each once. ``other_lines`` (doc_id, and the columns of lines) are used for documents whose tables gave no line.
     """
     texts = labels.with_documents(joined_pages(pages))
-    origin = [c for c in ("page", "method", "confidence", "bbox") if c in rows.columns]
-    keyed = rows.select(F.struct("doc_id", "table_no").alias("table_id"), "row_idx", "cells", *origin)
-    sourced = ["ExtractionSource", "TTKhac"] if "page" in origin else []
-    lines = tables.items(keyed).select("table_id.doc_id", "table_id.table_no", "row_idx", *tables.FIELDS, "TChat", "unclear", *sourced)
-    if other_lines is not None:
-        lines = lines.unionByName(other_lines.join(lines.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True)
-    stated = tables.totals(keyed).select("table_id.doc_id", "table_id.table_no", *TOTALS, "rates")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("table_no")))
-    per = stated.groupBy("doc_id").agg(*[last(c).alias(f"t_{c}") for c in TOTALS], F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "rates"))), lambda x: x["rates"]))).alias("rates"))
+    sourced = "page" in rows.columns
+    sure = F.transform(F.array(*map(F.lit, validate.AMOUNTS)), lambda f: F.get("confidence", F.try_element_at("columns", f)))
+    more = ([F.col("page").cast("int").alias("page")] if sourced else []) + ([sure.alias("sure")] if sourced and "confidence" in rows.columns else [])
+    per = tables.by_document(rows, *more).select("doc_id", "lines", *[F.col(c).alias(f"t_{c}") for c in TOTALS], "rates")
     found, general = F.col("document.NDHDon.TToan"), F.col("document.TTChung")
-    totals = texts.join(per, "doc_id", "left").select(
-        "doc_id", (F.trim(blank("text")) != "").alias("_said"), general["SHDon"].alias("number"), general["NLap"].alias("issued"), validate.stated_rates("text").alias("_stated"),
+    met = texts.join(per, "doc_id", "left")
+    if other_lines is not None:
+        met = met.join(_other(other_lines, per), "doc_id", "left").withColumn("lines", first_filled(F.coalesce("lines", F.array().cast(per.schema["lines"].dataType)), F.col("_other"))).drop("_other")
+    totals = met.select(
+        F.col("doc_id").alias("invoice_id"), "lines", (F.trim(blank("text")) != "").alias("_said"), general["SHDon"].alias("number"), general["NLap"].alias("issued"), validate.stated_rates("text").alias("_stated"),
         *[F.coalesce(f"t_{c}", found[c]).alias(c) for c in TOTALS], F.coalesce("rates", F.array().cast("array<struct<TSuat:string,ThTien:string,TThue:string>>")).alias("rates"),
     )
     totals = totals.withColumn("_rate", F.when((F.size("_stated") == 1) & (F.size("rates") == 0), F.get("_stated", F.lit(0)))).drop("_stated")
 
-    # each document with its lines, or with none: from here on, one shuffle by document
-    by_doc = W.partitionBy("invoice_id")
-    met = totals.withColumnRenamed("doc_id", "invoice_id").join(lines.withColumnRenamed("doc_id", "invoice_id"), "invoice_id", "left")
-    met = met.withColumn("pos", F.row_number().over(by_doc.orderBy("table_no", "row_idx"))).withColumn("_goods", F.sum(F.when(F.col("TChat") == "1", 1).otherwise(0)).over(by_doc))
+    # each document with its lines, or with none, where it lies
+    met = totals.withColumn("_goods", F.size(F.filter("lines", lambda x: x["TChat"] == "1")))
+    met = met.select("invoice_id", *TOTALS, "_goods", "_rate", F.struct("number", "issued", "_said", "_rate", "rates").alias("_doc"), F.posexplode_outer("lines").alias("pos", "_x"))
+    met = met.select(*[c for c in met.columns if c not in ("pos", "_x")], (F.coalesce("pos", F.lit(0)) + 1).alias("pos"), "_x.*")
     goods = F.coalesce(F.col("TChat") == "1", F.lit(False))
     alone = goods & (F.col("_goods") == 1) & (blank("TThue") == "") & (blank("TgTThue") != "") & (decimal_strict("ThTien") == decimal_strict("TgTCThue"))
     met = met.withColumns({"TSuat": F.when(goods & (blank("TSuat") == ""), F.coalesce("_rate", "TSuat")).otherwise(F.col("TSuat")), "TThue": F.when(F.coalesce(alone, F.lit(False)), F.col("TgTThue")).otherwise(F.col("TThue"))})
-    weak = F.size(validate.weak_fields(F.col("ExtractionSource.confidence"))) > 0 if "confidence" in origin else F.lit(False)
-    line = F.when(F.col("row_idx").isNotNull(), F.struct("pos", *tables.FIELDS, "TChat", *(["ExtractionSource.page"] if sourced else [])))
-    met = met.withColumns({"_line": line, "_weak": weak, "_unclear": F.coalesce("unclear", F.lit(False)), "_doc": F.struct("number", "issued", "_said", "_rate", "rates")})
+    weak = F.size(validate.weak_fields(F.map_from_arrays(F.array(*map(F.lit, validate.AMOUNTS)), F.col("sure")))) > 0 if len(more) == 2 else F.lit(False)
+    line = F.when(F.col("row_idx").isNotNull(), F.struct("pos", *tables.FIELDS, "TChat", *(["page"] if sourced else [])))
+    met = met.withColumns({"_line": line, "_weak": weak, "_unclear": F.coalesce("unclear", F.lit(False))})
     counted = validate.rule_counts(met, None, ("_line", "_weak", "_unclear", "_doc"), (
         F.array_sort(F.collect_list("_line")).alias("lines"), F.bool_or("_weak").alias("_weak"), F.bool_or("_unclear").alias("_unclear"), F.first("_doc").alias("_doc"), *[F.first(c).alias(f"_{c}") for c in TOTALS],
     ))

@@ -24,6 +24,7 @@ LABELS = [
 ENGLISH = [("STT", r"\bstt\b|\(no\.?\)"), ("THHDVu", r"\bdescription\b"), ("DVTinh", r"\(unit\)"), ("SLuong", r"\bquantity\b"), ("DGia", r"\bunit price\b"), ("ThTien", r"\(amount\)")]
 NEEDED = ["STT", "THHDVu", "SLuong", "DGia", "ThTien"]
 FIELDS = [f for _, f in LABELS]
+TOTALS = ("TgTCThue", "TgTThue", "TgTTTBSo")
 #: What a header row holds somewhere (STT in any accents, or its English wording); what a row of totals or rates holds.
 MAY_BE_HEADER = r"(?iu)[s\u015b\u015d\u015f\u0161\u0219]\p{M}*[t\u0163\u0165\u021b]\p{M}*[t\u0163\u0165\u021b]|\(no\.?\)"
 MAY_BE_TOTAL = r"(?iu)tổng|cộng|thuế"
@@ -75,8 +76,9 @@ def _plain(label: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
 
 
-def analysed(tables: DataFrame) -> DataFrame:
-    """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force."""
+def analysed(tables: DataFrame, by: str = "table_id", table: str | None = None) -> DataFrame:
+    """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force. Rows are shuffled by ``by``; where that may hold several
+    tables, ``table`` tells them apart, and no columns of one are in force in another."""
     row = tables.withColumn("row", F.transform("cells", compact))
     row = row.withColumn("header", F.when(F.rlike(F.array_join("cells", " ", ""), F.lit(MAY_BE_HEADER)), _header(F.col("row"))))
     row = row.withColumn("filled", F.filter("row", lambda c: c != "")).withColumn("first", F.lower(F.coalesce(F.get("filled", F.lit(0)), F.lit(""))))
@@ -99,25 +101,54 @@ def analysed(tables: DataFrame) -> DataFrame:
         F.when(rated, F.struct(F.concat(rate, F.lit("%")).alias("TSuat"), number(0).alias("ThTien"), number(1).alias("TThue"))).alias("rate"),
         three.alias("ends"), (three | subtotal | total | tax).alias("resets"),
     )
-    event = F.when(F.col("header").isNotNull(), F.struct(F.col("header").alias("columns"))).when(F.col("resets"), F.struct(F.lit(None).cast("map<string,int>").alias("columns")))
-    upto = W.partitionBy("table_id").orderBy("row_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return row.withColumn("columns", F.last(event, ignorenulls=True).over(upto)["columns"])
+    own = F.col(table) if table else F.lit(0)
+    event = F.when(F.col("header").isNotNull(), F.struct(own.alias("table"), F.col("header").alias("columns"))).when(F.col("resets"), F.struct(own.alias("table"), F.lit(None).cast("map<string,int>").alias("columns")))
+    upto = W.partitionBy(by).orderBy(*([table] if table else []), "row_idx").rowsBetween(W.unboundedPreceding, W.currentRow)
+    row = row.withColumn("columns", F.last(event, ignorenulls=True).over(upto))
+    return row.withColumn("columns", F.when(F.col("columns.table").eqNullSafe(own), F.col("columns.columns")))
 
 
 def items(tables: DataFrame) -> DataFrame:
     """table_id, row_idx, the item fields, TChat (1 goods, 4 note, empty if unclear) and unclear (a row with amounts but no line number). Of tables that say where they come from (column
     ``page``, perhaps ``method``, and by row ``confidence``, one number a cell, and ``bbox``) also ExtractionSource and the entry in TTKhac that names it."""
-    cell = lambda f: F.coalesce(F.get("row", F.try_element_at("columns", F.lit(f))), F.lit(""))
     sourced = [c for c in ("page", "method", "confidence", "bbox") if c in tables.columns]
-    rows = analysed(tables).filter(F.col("plain") & ~F.col("ends") & F.col("columns").isNotNull()).select("table_id", "row_idx", "cells", "columns", *sourced, *[cell(f).alias(f) for f in FIELDS])
+    rows = analysed(tables).filter(MAY_BE_LINE).select("table_id", "row_idx", "cells", "columns", *sourced, *cells_by_field())
+    is_line, line = _line()
+    return rows.filter(is_line).select("table_id", "row_idx", *line, *(_provenance(sourced) if "page" in sourced else []))
+
+
+#: Of the rows of ``analysed``, those that stand below a header and are neither empty nor the end of a table.
+MAY_BE_LINE = "plain and not ends and columns is not null"
+
+
+def cells_by_field() -> list[Column]:
+    """The cell of each item field in a row of ``analysed``, empty where there is none."""
+    return [F.coalesce(F.get("row", F.try_element_at("columns", F.lit(f))), F.lit("")).alias(f) for f in FIELDS]
+
+
+def _line() -> tuple[Column, list[Column]]:
+    """Whether a row with ``cells_by_field`` is a line of the invoice, and the columns of that line."""
     amounts = reduce(lambda a, b: a | b, [F.col(f) != "" for f in ("SLuong", "DGia", "ThTien")])
     goods, note = F.col("STT").rlike(r"^\d+$"), (F.col("STT") == "") & ~amounts
     described = (F.col("THHDVu") != "") & ~F.col("THHDVu").rlike(r"^\(?\d+\)?$")
-    whole = compact(rejoined(F.get("cells", F.element_at("columns", F.lit("THHDVu")))))
-    return rows.filter(described & (goods | note | amounts)).select(
-        "table_id", "row_idx", *[whole.alias(f) if f == "THHDVu" else F.col(f) for f in FIELDS],
-        F.when(goods, "1").when(note, "4").otherwise("").alias("TChat"), (~goods & ~note).alias("unclear"), *(_provenance(sourced) if "page" in sourced else []),
-    )
+    whole = compact(rejoined(F.get("cells", F.try_element_at("columns", F.lit("THHDVu")))))
+    columns = [*[whole.alias(f) if f == "THHDVu" else F.col(f) for f in FIELDS], F.when(goods, "1").when(note, "4").otherwise("").alias("TChat"), (~goods & ~note).alias("unclear")]
+    return described & (goods | note | amounts), columns
+
+
+def by_document(rows: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lines, the totals and the rate rows of all tables of a document (``rows``: doc_id, table_no, row_idx, cells): rows are analysed once and shuffled once, by document.
+
+    A line has table_no, row_idx, the item fields, TChat, unclear and the columns ``more`` (of a row of ``analysed``; nothing that can't be ordered). Lines stand in order; of totals the last statement
+    counts; each rate row is there once. A document whose rows state nothing has no lines.
+    """
+    seen = analysed(rows, "doc_id", "table_no").withColumn("_may", F.expr(MAY_BE_LINE))
+    seen = seen.select("doc_id", F.struct("table_no", "row_idx").alias("_at"), "cells", "columns", "_may", *TOTALS, "rate", F.struct(F.lit(0).alias("_"), *more).alias("_more"), *cells_by_field())
+    is_line, line = _line()
+    made = seen.select("doc_id", "_at", *TOTALS, "rate", F.when(F.col("_may") & is_line, F.struct("_at.*", *line, "_more.*")).alias("_line"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))
+    rates = F.transform(F.array_sort(F.collect_list(F.when(F.col("rate").isNotNull(), F.struct("_at", "rate")))), lambda x: x["rate"])
+    return made.groupBy("doc_id").agg(F.array_sort(F.collect_list("_line")).alias("lines"), *[last(c).alias(c) for c in TOTALS], F.array_distinct(rates).alias("rates"))
 
 
 def _provenance(given: list[str]) -> list[Column]:
@@ -136,7 +167,7 @@ def totals(tables: DataFrame) -> DataFrame:
     rows = analysed(tables)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_idx")))
     rates = F.transform(F.array_sort(F.collect_list(F.when(F.col("rate").isNotNull(), F.struct("row_idx", "rate")))), lambda x: x["rate"])
-    return rows.groupBy("table_id").agg(*[last(c).alias(c) for c in ("TgTCThue", "TgTThue", "TgTTTBSo")], F.array_distinct(rates).alias("rates"))
+    return rows.groupBy("table_id").agg(*[last(c).alias(c) for c in TOTALS], F.array_distinct(rates).alias("rates"))
 
 
 def markdown_cells(line: Column) -> Column:

@@ -26,6 +26,8 @@ RULES = {
     "R8": "there are lines but no readable total",
 }
 EXACT = "decimal(38,8)"
+#: The amounts of a line whose confidence is looked at.
+AMOUNTS = ("SLuong", "DGia", "ThTien", "TThue")
 
 
 def _count(test: Column) -> Column:
@@ -117,8 +119,7 @@ def low_confidence(items: DataFrame, least: int = 70) -> DataFrame:
 
 def weak_fields(confidence: Column, least: int = 70) -> Column:
     """The amounts of a line that are given and were read with less confidence than ``least``."""
-    fields = ("SLuong", "DGia", "ThTien", "TThue")
-    return F.array_compact(F.array(*[F.when((blank(f) != "") & (F.coalesce(F.try_element_at(confidence, F.lit(f)), F.lit(100.0)) < least), F.lit(f)) for f in fields]))
+    return F.array_compact(F.array(*[F.when((blank(f) != "") & (F.coalesce(F.try_element_at(confidence, F.lit(f)), F.lit(100.0)) < least), F.lit(f)) for f in AMOUNTS]))
 
 
 def stated_rates(text: Column | str) -> Column:

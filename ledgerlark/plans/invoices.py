@@ -138,16 +138,12 @@ HEADER = ["STT", "Tên hàng hóa, dịch vụ", "Đơn vị tính", "Số lư
 def rendered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_id, row_idx, cells: per invoice a title row, a header, its lines, and a row of totals with three amounts."""
     fields = ["STT", "THHDVu", "DVTinh", "SLuong", "DGia", "ThTien", "TSuat", "TThue"]
-    body = derived.items(spark, sf_dir).select(
-        F.col("invoice_id").alias("table_id"), (F.col("pos") + 1).alias("row_idx"),
-        F.when(F.col("TChat") == "4", F.array(F.lit(""), F.col("THHDVu"), *[F.lit("")] * 6)).otherwise(F.array(*[F.col(f) for f in fields])).alias("cells"),
-    )
-    totals = derived.stated_totals(spark, sf_dir)
-    head = totals.select(F.col("invoice_id").alias("table_id"), F.explode(F.array(
-        F.struct(F.lit(0).alias("row_idx"), F.array(F.lit("HÓA ĐƠN"), F.lit("")).alias("cells")), F.struct(F.lit(1).alias("row_idx"), F.array(*map(F.lit, HEADER)).alias("cells")),
-    )).alias("x")).select("table_id", "x.*")
-    foot = totals.select(F.col("invoice_id").alias("table_id"), F.lit(1_000_000).alias("row_idx"), F.array(F.lit("Tổng cộng:"), F.lit(""), F.col("TgTCThue"), F.col("TgTThue"), F.col("TgTTTBSo")).alias("cells"))
-    return head.unionByName(body).unionByName(foot)
+    row = lambda i, *cells: F.struct(F.lit(i).alias("row_idx"), F.array(*cells).alias("cells"))
+    body = F.struct((F.col("pos") + 1).alias("row_idx"), F.when(F.col("TChat") == "4", F.array(F.lit(""), F.col("THHDVu"), *[F.lit("")] * 6)).otherwise(F.array(*[F.col(f) for f in fields])).alias("cells"))
+    around = [row(0, F.lit("HÓA ĐƠN"), F.lit("")), row(1, *map(F.lit, HEADER)), row(1_000_000, F.lit("Tổng cộng:"), F.lit(""), F.col("TgTCThue"), F.col("TgTThue"), F.col("TgTTTBSo"))]
+    # the rows around the lines come with the first of them, so the lines are read and numbered once
+    rows = F.concat(F.array(body), F.when(F.col("pos") == 1, F.array(*around)).otherwise(F.array().cast("array<struct<row_idx:int,cells:array<string>>>")))
+    return derived.whole_items(spark, sf_dir).select(F.col("invoice_id").alias("table_id"), F.explode(rows).alias("x")).select("table_id", "x.*")
 
 
 def header_detection(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,18 @@ def test_finished(spark):
     assert got[2].warnings == ["R10", "R9"] and got[3].warnings == [] and got[2].lines is None
 
 
+def test_several_tables_of_a_document_and_other_lines(spark):
+    pages = spark.createDataFrame([(1, 1, "text"), (2, 1, "text")], "doc_id long, page int, text string")
+    line = lambda n, amount: [n, "Giấy", "Ram", "1", amount, amount, "8%", ""]
+    given = [(1, 0, 0, HEAD), (1, 0, 1, line("1", "100.000")), (1, 1, 0, line("9", "7.000")), (1, 2, 0, HEAD), (1, 2, 1, line("2", "50.000")), (1, 2, 2, ["Tổng cộng", "150.000", "12.000", "162.000"]), (1, 2, 3, line("3", "1.000"))]
+    rows = spark.createDataFrame(given, "doc_id long, table_no int, row_idx int, cells array<string>")
+    others = spark.createDataFrame([(1, 0, 0, "8", "no", "1"), (2, 0, 1, "2", "b", "1"), (2, 0, 0, "1", "a", "1")], "doc_id long, table_no int, row_idx int, STT string, THHDVu string, TChat string")
+    got = {r.doc_id: r for r in finish.finished(pages, rows, others).collect()}
+    # the columns of one table aren't in force in the next, nor below a row of totals
+    assert [x.STT for x in got[1].lines] == ["1", "2"] and got[1].TgTTTBSo == "162.000"
+    assert [(x.STT, x.THHDVu) for x in got[2].lines] == [("1", "a"), ("2", "b")] and got[2].TgTTTBSo == ""
+
+
 def test_client(spark):
     df = spark.createDataFrame([("Ann", "a@b.c", None, {"ICO": "1", "Name": "x"}, ["a", "b"]), ("", "bad", "", {}, [])], "name string, mail string, note string, details map<string,string>, tabs array<string>")
     out = df.select(
