@@ -147,7 +147,7 @@ def test_levelled_moves_little_and_ends():
     uneven = {s: (100 if s % 4 == 0 else 10, 1) for s in range(64)}
     out = sharding.levelled(placed, uneven, 4)
     load = [sum(uneven[s][0] for s in range(64) if out[s] == k) for k in range(4)]
-    assert max(load) <= 1.2 * sum(load) / 4 and max(load) - min(load) < 2 * 100 and all(out[s] == placed[s] for s in range(64) if placed[s])
+    assert max(load) <= 1.2 * sum(load) / 4 and max(load) - min(load) < 2 * 100 and sum(a != b for a, b in zip(placed, out)) <= 16
     assert sharding.levelled(placed, {0: (10**6, 1), 4: (5, 1), 1: (5, 1)}, 4)[0] == 0
     assert sharding.levelled(placed, {}, 4) is placed
 
