@@ -6,22 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.operators.scan import clusters, clusters_within, containing, coverage, coverage_within
+from ledgerlark.operators.scan import clusters, clusters_within, containing, coverage, coverage_within, largest_neighbourhood, largest_neighbourhood_within
 
 __all__ = ["boundaries", "bucketed_rules", "chunked", "clusters", "containing", "coverage", "grid", "joined_words", "largest_neighbourhood", "recovered_rows", "ruled_table", "skew"]
 
 
-def largest_neighbourhood(values: DataFrame, distance: float, least: int = 1) -> DataFrame:
-    """g, anchor, n: of each group in ``values`` (g, id, v) the value with the most values nearer than ``distance`` (itself included), the smallest id on ties, if
-    there are at least ``least``. A range self-join by cells of the distance's width: only neighbouring cells meet."""
-    cell = values.withColumn("cell", F.floor(F.col("v") / distance))
-    near = cell.select(F.col("g").alias("h"), F.col("v").alias("w"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell2"))
-    met = cell.join(near, (F.col("g") == F.col("h")) & (F.col("cell") == F.col("cell2")) & (F.abs(F.col("v") - F.col("w")) < distance))
-    counted = met.groupBy("g", "id").agg(F.count("*").alias("n"))
-    best = counted.groupBy("g").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("i"))).alias("b"))
-    return best.select("g", (-F.col("b.i")).alias("anchor"), F.col("b.n").alias("n")).filter(F.col("n") >= least)
-
-
 def boundaries(anchors: DataFrame, rules: DataFrame, margin: float = 4.0, least: float = 0.3) -> DataFrame:
     """g, lo, hi, y: for each pair of consecutive anchors (g, v) the rule (g, y, covered) between them, ``margin`` clear of both and covering more than
     ``least``, with the largest cover, then nearest to the middle, then smallest. Only groups in which every pair has one. A rule lies between one pair only: the last anchor below it, found by one running
@@ -47,7 +36,7 @@ def ruled_table(rules: DataFrame, pages: DataFrame, tolerance: float = 8.0) -> D
     own = rules.join(page, F.col("g") == F.col("p")).select("g", "id", "x0", "x1", "y0", "y1", F.least("y0", "y1").alias("top"), F.greatest("y0", "y1").alias("bottom"), "width", "height")
     long = own.filter((F.abs(F.col("x0") - F.col("x1")) < 1) & (F.col("bottom") - F.col("top") > 0.15 * F.col("height")))
     scaled = long.select("g", "id", (F.col("top") / (0.012 * F.col("height"))).alias("v"))
-    anchor = largest_neighbourhood(scaled, 1.0, 6).select(F.col("g").alias("h"), "anchor")
+    anchor = largest_neighbourhood_within(scaled, 1.0, 6).select(F.col("g").alias("h"), "anchor")
     first = long.join(anchor, (F.col("g") == F.col("h")) & (F.col("id") == F.col("anchor"))).select(F.col("g").alias("h"), F.col("top").alias("at"))
     group = long.join(first, (F.col("g") == F.col("h")) & (F.abs(F.col("top") - F.col("at")) < 0.012 * F.col("height")))
     sides = group.groupBy("g").agg(F.median("top").alias("top"), F.min("bottom").alias("bottom"), F.max("width").alias("width"))

@@ -6,12 +6,19 @@ a slice, and that is added. Between such steps the large groups' rows, no others
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlark.sources.shared import written
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Rows of a group from which it is cut, and slices of a group at most.
 MOST, SLICES = 500_000, 4096
 SLICE = "_slice"
@@ -120,6 +127,74 @@ def coverage(intervals: DataFrame, most: int = MOST) -> DataFrame:
     return coverage_within(_of(own, heavy, "left_anti")).unionByName(reached.groupBy("g").agg(F.sum(add).alias("covered")))
 
 
+def furthest(v: np.ndarray, distance: float) -> np.ndarray:
+    """For each double the largest double whose difference from it, rounded as doubles are, is less than ``distance``. Differences rise with the other number, so a search by halves over the doubles in their order ends exactly there."""
+    least = np.iinfo(np.int64).min
+
+    def place(x: np.ndarray) -> np.ndarray:
+        bits = x.view(np.int64)
+        return np.where(bits < 0, least - bits, bits)
+
+    def at(k: np.ndarray) -> np.ndarray:
+        return np.where(k < 0, least - k, k).view(np.float64)
+
+    with np.errstate(over="ignore"):
+        low, high = place(v), place(np.nextafter(v + 2 * distance, np.inf))
+        for _ in range(64):
+            middle = (low >> 1) + (high >> 1) + (low & high & 1)
+            near = at(middle) - v < distance
+            low, high = np.where(near, middle, low), np.where(near, high, middle)
+    return at(low)
+
+
+def _reaches(distance: float) -> "Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]":
+    def run(batches: "Iterator[pa.RecordBatch]") -> "Iterator[pa.RecordBatch]":
+        import pyarrow as pa
+
+        for batch in batches:
+            v = np.ascontiguousarray(batch.column("v").to_numpy(zero_copy_only=False), np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(-furthest(-v, distance)), pa.array(furthest(v, distance))], names=[*batch.schema.names, "lo", "hi"])
+
+    return run
+
+
+def _neighbourhood(values: DataFrame, distance: float, least: int, summed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    own = values.select("g", "id", F.col("v").cast("double").alias("v")).filter("g is not null and abs(v) < double('infinity')")
+    counted = own.groupBy("g", "v").agg(F.count("*").alias("n"))
+    reached = counted.mapInArrow(_reaches(distance), f"g {counted.schema['g'].dataType.simpleString()}, v double, n long, lo double, hi double")
+    mark = lambda at, kind, n: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), n.alias("n"))
+    none = F.lit(0).cast("long")
+    marks = reached.select("g", "v", F.inline(F.array(mark("lo", 0, none), mark("v", 1, F.col("n")), mark("hi", 2, none))))  # an end before or after the values that are equal to it
+    ends = summed(marks).filter("kind != 1")
+    near = ends.groupBy(F.col("g").alias("_g"), F.col("v").alias("_v")).agg(F.sum(F.when(F.col("kind") == 2, F.col("_to")).otherwise(-F.col("_to"))).alias("n"))
+    met = own.join(near, (F.col("g") == F.col("_g")) & (F.col("v") == F.col("_v"))).groupBy("g", "id").agg(F.sum("n").alias("n"))
+    best = met.groupBy("g").agg(F.max(F.struct(F.col("n"), (-F.col("id")).alias("i"))).alias("b"))
+    return best.select("g", (-F.col("b.i")).alias("anchor"), F.col("b.n").alias("n")).filter(F.col("n") >= least)
+
+
+def _summed_within(marks: DataFrame) -> DataFrame:
+    return marks.withColumn("_to", F.sum("n").over(W.partitionBy("g").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+
+def largest_neighbourhood_within(values: DataFrame, distance: float, least: int = 1) -> DataFrame:
+    """``largest_neighbourhood`` of groups that are known to be small: one window each."""
+    return _neighbourhood(values, distance, least, _summed_within)
+
+
+def largest_neighbourhood(values: DataFrame, distance: float, least: int = 1, most: int = MOST) -> DataFrame:
+    """g, anchor, n: of each group in ``values`` (g, id, v) the value with the most values nearer than ``distance`` (itself included), the smallest id on ties, if
+    there are at least ``least``. Values near one are neighbours in their order: a running sum up to the furthest of them, less the one before the first, counts them, so no value meets another."""
+    def summed(marks: DataFrame) -> DataFrame:
+        marks = written(marks, "neighbours")
+        heavy = heavy_groups(marks, most)
+        if heavy is None:
+            return _summed_within(marks)
+        large = running_sum(sliced(_of(marks, heavy, "left_semi"), "at", most), "n", "_to", "at", "kind").drop(SLICE)
+        return _summed_within(_of(marks, heavy, "left_anti")).unionByName(large)
+
+    return _neighbourhood(values, distance, least, summed)
+
+
 def containing(points: DataFrame, intervals: DataFrame, most: int = MOST) -> DataFrame:
     """g, id, k: for each point (g, id, v) the first interval (g, k, lo, hi), by k, that holds it, ends included; points without one are left out.
 

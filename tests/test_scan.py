@@ -86,3 +86,23 @@ def test_what_is_sent_is_bounded(spark):
     assert {r.k for r in found.collect()} == {0}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_neighbourhoods_count_without_pairs(spark):
+    """Equal to counting every pair, at differences that rounding decides, in cut groups too; and a group of 200,000 near values isn't paired: which would be 4 * 10^10 pairs."""
+    r = random.Random(11)
+    rows = [(g, i, round(900 + r.randrange(4000) / 100, 2)) for g in ("a", "b") for i in range(300)] + [("a", 7, 905.01), ("c", 1, 0.1), ("c", 2, 0.4), ("c", 3, 0.7), ("c", 4, -0.0), ("c", 5, 0.0)]
+    rows += [("d", 1, float("nan")), ("d", 2, None), ("d", 3, float("inf")), (None, 4, 1.0)] + [("e", i, 1e17 + 16 * i) for i in range(5)] + [("f", i, v) for i, v in enumerate((-2.5, 1e-300, 0.0, -1e-17))]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    for distance in (0.3, 40.0):
+        want = {}
+        for g in "abcef":
+            own = [(i, v) for h, i, v in rows if h == g]
+            n = {}
+            for i, v in own:
+                n[i] = n.get(i, 0) + sum(abs(v - w) < distance for _, w in own)
+            want[g] = min((-k, i) for i, k in n.items())
+        for got in (scan.largest_neighbourhood(df, distance), scan.largest_neighbourhood(df, distance, most=100)):
+            assert {x.g: (-x.n, x.anchor) for x in got.collect()} == want
+    many = spark.range(200_000).select(F.lit(1).alias("g"), "id", (F.col("id") / 200_000).alias("v"))
+    assert [tuple(x) for x in scan.largest_neighbourhood(many, 2.0, most=50_000).collect()] == [(1, 0, 200_000)]
