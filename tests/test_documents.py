@@ -184,3 +184,15 @@ def test_extra_fields_as_they_are_stored(spark):
 def test_xml_trees():
     tree = D.xml_tree(b'<?xml version="1.0" encoding="ISO-8859-1"?><n:A xmlns:n="u" k="1"> t <B n:z="2">\xe9 <!-- c -->&amp;<![CDATA[<]]></B>tail<B/><C q="3"><D> </D></C></n:A>')
     assert tree == {"A": {"B": ["é &<", ""], "C": {"D": "", "@q": "3"}, "@k": "1"}}
+
+
+def test_json_ends_with_its_value(spark):
+    """Spark's parser takes the first value of ``12 fox`` and leaves the rest."""
+    bad = ["12 fox", '{"a":1} x', '{"a":1}{"b":2}', "1, 2", '1, "y": 2', "1] , [2", "1}, {2", "[1]]", '{"x":1}}', "null null", '"a" "b"', "1,", "", " ", ",", ":"]
+    good = ["12", ' {"a":1}\n', "[1]", "null", '"a"', "-1.5e3 ", "true"]
+    df = spark.createDataFrame([(f"{i}.json", t.encode(), i < len(bad)) for i, t in enumerate(bad + good)], "path string, content binary, bad boolean")
+    got = D.parsed(df).join(df.select("path", "bad"), "path").select("path", "bad", "error").collect()
+    assert len(got) == len(bad + good) and {r.path for r in got if r.bad != (r.error is not None)} == set()
+    entry = '{"TTKhac":[{"TTruong":"t","KDLieu":"s","DLieu":"v"}]}'
+    texts = spark.createDataFrame([(1, entry), (2, entry + " more"), (3, None)], "invoice_id int, document_json string")
+    assert [r.invoice_id for r in store.shredded_extras(texts).collect()] == [1] and [r.invoice_id for r in store.unreadable(texts).collect()] == [2]
