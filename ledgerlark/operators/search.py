@@ -14,22 +14,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import ascii_lower
+from ledgerlark.functions.scalars import ascii_lower, let
 from ledgerlark.operators import store
 
-#: Rows of a part, and folders of the index.
-PART_ROWS, BUCKETS = 4096, 64
+#: Rows of a part, folders of the index, and folders of the rows at most.
+PART_ROWS, BUCKETS, RUNS = 4096, 64, 512
 #: Ranges that a column is cut into, rows drawn to find them, and rows that are sorted in one go.
 RANGES, DRAWN, SORTED = 64, 4096, 100_000
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct runs of three characters, ASCII letters lower-cased. One pass: the characters are split once."""
-    low = ascii_lower(text)
-    runs = F.transform(F.split(low, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    chars = F.split(low, "")
-    made = F.transform(F.slice(runs, F.lit(1), F.greatest(F.lit(0), F.size(chars) - 2)), lambda x: F.concat(x["c"], F.get(chars, x["i"] + 1), F.get(chars, x["i"] + 2)))
-    return F.array_distinct(F.when(F.length(low) >= 3, made).otherwise(F.array().cast("array<string>")))
+    """The distinct runs of three characters, ASCII letters lower-cased. The characters are split once for a text: within a lambda they would be split again for each of them."""
+    def made(chars: Column) -> Column:
+        return F.transform(F.slice(chars, F.lit(1), F.greatest(F.lit(0), F.size(chars) - 2)), lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)))
+
+    return F.coalesce(F.array_distinct(let(F.split(ascii_lower(text), ""), made)), F.array().cast("array<string>"))
 
 
 def query_trigrams(query: str) -> list[str]:
@@ -39,12 +38,18 @@ def query_trigrams(query: str) -> list[str]:
 
 
 def write_indexed(invoices: DataFrame, folder: str, order: tuple[str, ...] = ("created_at", "invoice_id"), columns: tuple[str, ...] = store.SEARCHED, part_rows: int = PART_ROWS) -> None:
-    """The invoices in parts of about ``part_rows`` rows along ``order``, so that what was saved together stands together, and the index of their trigrams. Null texts have none."""
+    """The invoices in parts of about ``part_rows`` rows along ``order``, so that what was saved together stands together, and the index of their trigrams. Null texts have none. Up to ``RUNS`` parts have a folder each; of more parts, runs
+    of neighbours share one, so that files grow in size and not in number, and a file's row groups, ascending by part, are skipped by their bounds."""
     spark = invoices.sparkSession
     parts = max(1, -(-invoices.count() // part_rows))
-    invoices.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{folder}/rows")
-    texts = spark.read.parquet(f"{folder}/rows").select("part", F.explode(F.array(*columns)).alias("text")).filter("text is not null")
-    found = texts.select("part", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("gram", "part").agg(F.count("*").alias("n"))
+    inner = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a row's place in its task
+    at = F.lit(0) if parts <= RUNS else F.floor(inner / part_rows)
+    placed = invoices.repartitionByRange(min(parts, RUNS), *order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id()).withColumn("part", F.col("run").cast("long") * F.lit(1 << 32) + at)
+    placed.write.partitionBy("run").parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    rows.groupBy("run", "part").agg(F.count("*").alias("n")).write.parquet(f"{folder}/parts")
+    texts = rows.select("run", "part", F.explode(F.array(*columns)).alias("text")).filter("text is not null")
+    found = texts.select("run", "part", F.explode(trigrams(F.col("text"))).alias("gram")).distinct()
     bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
     bucketed.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{folder}/grams")
 
@@ -59,17 +64,22 @@ class Found:
 
 
 def indexed_search(spark: SparkSession, folder: str, query: str, columns: tuple[str, ...] = store.SEARCHED) -> Found:
-    """``store.search`` over indexed invoices. A query without three letters in a row reads all parts. ``columns`` may be fewer than those indexed. The driver sees numbers of parts, never rows."""
-    rows = spark.read.parquet(f"{folder}/rows")
+    """``store.search`` over indexed invoices. A query without three letters in a row reads all parts. ``columns`` may be fewer than those indexed. The driver sees no more than ``RUNS`` numbers of folders, never parts or rows."""
+    rows, known = spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/parts")
     grams = query_trigrams(query)
-    every = rows.select("part").distinct().count()
+    every = known.count()
     if not grams:
-        return Found(store.search(rows, query, columns).drop("part"), every, every)
+        return Found(store.search(rows, query, columns).drop("run", "part"), every, every)
     wanted = spark.createDataFrame([(g,) for g in grams], "gram string").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
     buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
     index = spark.read.parquet(f"{folder}/grams").filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-    parts = sorted(r["part"] for r in index.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).collect())
-    return Found(store.search(rows.filter(F.col("part").isin(parts) if parts else F.lit(False)), query, columns).drop("part"), len(parts), every)
+    held = index.groupBy("run", "part").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).drop("n")
+    runs = {r["run"]: r["n"] for r in held.groupBy("run").agg(F.count("*").alias("n")).collect()}
+    parts = sum(runs.values())
+    own = rows.filter(F.col("run").isin(sorted(runs)) if runs else F.lit(False))
+    if parts > len(runs) and parts < every:
+        own = own.join(held.select("part"), "part", "left_semi")
+    return Found(store.search(own, query, columns).drop("run", "part"), parts, every)
 
 
 # ---- pages

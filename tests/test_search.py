@@ -72,3 +72,16 @@ def test_a_page_sorts_one_range(spark):
     pieces = search._pieces(df, 15_000, 25, order, order, 1000)
     plans = [p._jdf.queryExecution().optimizedPlan().toString() for p in pieces]
     assert len(pieces) <= 3 and all("Filter" in p and "Sort" in p for p in plans) and sum(p.count() for p in pieces) == 25
+
+
+def test_many_parts_share_few_folders(spark, tmp_path, monkeypatch):
+    """Folders don't grow with the rows; parts do, and searches of one part, of some and of all equal a full scan."""
+    monkeypatch.setattr(search, "RUNS", 3)
+    df = spark.range(3000).select(F.col("id").alias("invoice_id"), F.format_string("HD_%05d", "id").alias("invoice_number"), F.when(F.col("id") == 1234, "rare").otherwise("text").alias("document_json"))
+    search.write_indexed(df.repartition(7), str(tmp_path / "i"), ("invoice_id",), COLUMNS, 50)
+    assert len(list((tmp_path / "i" / "rows").glob("run=*/*.parquet"))) == 3
+    for query in ("rare", "HD_0123", "00", "ext", "none such"):
+        found = search.indexed_search(spark, str(tmp_path / "i"), query, COLUMNS)
+        assert sorted(r.invoice_id for r in found.rows.collect()) == sorted(r.invoice_id for r in store.search(df, query, COLUMNS).collect())
+        assert found.of >= 60 and found.parts == {"rare": 1, "none such": 0}.get(query, found.parts)
+    assert set(found.rows.columns) == set(df.columns)
