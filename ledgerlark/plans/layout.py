@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerlark.operators import geometry, layout
-from ledgerlark.plans.derived import table
+from ledgerlark.plans.derived import pieces, table
 
 #: Rows from which a group is cut in these queries, so that their one group is.
 CUT = 400
+#: Pages of a task.
+PAGES = 2000
 
 
 # ---- one group
@@ -88,7 +90,8 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.translate("text", "\t\n\r\u000b\f ", "      "), " +"), lambda w: w != "")
     sheets = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / 203)).cast("int")), lambda p: F.struct(p.alias("page"), F.slice("words", p * 203 + 1, 203).alias("words")))
     own = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0).select("doc_id", F.explode(sheets).alias("s"))
-    moved = own.select(F.concat_ws(":", "doc_id", "s.page").alias("g"), "s.page", "s.words").repartition("g")  # as texts: the boxes made of them are wider and stay where they are
+    moved = own.select(F.concat_ws(":", "doc_id", "s.page").alias("g"), "s.page", "s.words")
+    moved = moved.repartition(pieces(moved, PAGES), "g")  # as texts: the boxes made of them are wider and stay where they are, in tasks whose sorts fit into memory
     w = moved.select("g", F.posexplode("words").alias("k", "text"), "page").withColumn("i", F.col("page") * 203 + F.col("k"))
     k = F.col("k")
     body = k - 3
