@@ -6,8 +6,8 @@ words, no more than ``TABLE``, go to the tasks by broadcast; what a document hol
 The model (``gru``) knows the most frequent words, below ``gru.WORDS``. Any other belongs to a class by its shape, that is by its last bytes and its accents, and its probability within the class comes
 from the counts; so the model's score is one of the text, too, not of a text with words left out.
 
-Training is data-parallel: in each of ``ROUNDS`` rounds every task trains from the same parameters on its documents of that round, a fixed share of 1 in ``SHARES`` by a hash of doc_id, and the parameters become the
-mean over the tasks, weighted by their tokens. The share is the same at every size: what is learnt from, and what is sent, grows with the corpus. Blocks of parameters are added up by tasks, so that the driver
+Training is data-parallel: in each of ``ROUNDS`` rounds every task trains from the same parameters on its documents of that round, a share of 1 in ``SHARES`` by a hash of doc_id, and the parameters become the
+mean over the tasks, weighted by their tokens. As many shares as rounds: every training document is learnt from, once. Blocks of parameters are added up by tasks, so that the driver
 gets one model. Scoring passes each text once; the state is carried from window to window.
 
 Nulls: a null text is empty and has one token, the end. A null doc_id isn't held out, and its rows are trained on together. Repeated rows count and are scored each. Without training texts N and V are 0 and the base score is 0 for
@@ -29,7 +29,7 @@ from ledgerlark.llm.shared import parallelism, written
 FOLDS, HELD_OUT = 5, 1
 #: Most words of the broadcast table; 18 bytes each.
 TABLE = 1 << 19
-SHARES, ROUNDS, BLOCKS, SEED = 6, 2, 32, 13
+SHARES, ROUNDS, BLOCKS, SEED = 2, 2, 32, 13
 #: Bytes of text handled at once, and distinct words that a task holds before it sends them.
 CHUNK, HELD = 4 << 20, 1 << 20
 END = 0

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlark.llm import gru, language_model
 
@@ -137,3 +138,10 @@ def test_gradients():
         down = loss()
         p[name][at] = was
         assert got == pytest.approx((up - down) / 0.04, abs=2e-4, rel=0.03), (name, at)
+
+
+def test_every_training_document_is_learnt_from(spark):
+    """Each training document falls into just one round's share."""
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").filter(~language_model.held_out(F.col("doc_id")))
+    share = F.pmod(F.xxhash64(F.lit(language_model.SEED), "doc_id"), F.lit(language_model.SHARES))
+    assert df.filter(share < language_model.ROUNDS).count() == df.count()
