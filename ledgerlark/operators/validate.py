@@ -65,6 +65,12 @@ def line_findings(items: DataFrame) -> DataFrame:
     return _judged(items).filter("goods").drop("goods")
 
 
+def line_arithmetic(items: DataFrame) -> DataFrame:
+    """The goods lines that r2 or r3 speaks against: invoice_id, pos, r2, r3. They are unpacked from a list of none or one, as a filter would be moved below the numbers and parse them anew for each of its tests."""
+    found = F.when(F.col("r2") | F.col("r3"), F.array(F.struct("pos", "r2", "r3")))
+    return line_findings(items).select("invoice_id", F.explode(found).alias("x")).select("invoice_id", "x.*")
+
+
 def rule_counts(items: DataFrame, totals: DataFrame | None = None, kept: tuple[str, ...] = (), extra: tuple[Column, ...] = ()) -> DataFrame:
     """invoice_id and r1 to r8: how often each rule speaks for each invoice. Without ``totals``, the lines bear those of their invoice, and all is one shuffle of the lines. ``extra``: further
     aggregates, by name, of the columns ``kept``, made in the same pass."""
