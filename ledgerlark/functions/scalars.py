@@ -122,7 +122,7 @@ def fold_accents(c: Column | str) -> Column:
 def decimal_strict(c: Column | str) -> Column:
     """A number as printed on an invoice, 1.234.567,50; anything else is null. For validation."""
     # each step names the one before it once: named twice, the text (and all that it is made of) would be worked out twice for each use of the number
-    bare = F.regexp_extract(F.regexp_replace(col(c), BLANK, ""), r"^[-+]?(\d+|\d{1,3}(\.\d{3})+)(,\d+)?$", 0)
+    bare = F.get(F.regexp_extract_all(F.regexp_replace(col(c), BLANK, ""), F.lit(r"^[-+]?(\d+|\d{1,3}(\.\d{3})+)(,\d+)?$"), F.lit(0)), F.lit(0))
     return F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(38,8)")
 
 

@@ -14,3 +14,8 @@ def test_line_arithmetic_parses_each_number_once(spark):
     found = plan(entry.queries()["rule_line_arithmetic"](spark, SMALL))
     assert found.count("format_number(") == 3  # quantity, price, amount
     assert found.count("as decimal(38,8))") <= 6
+
+
+def test_queries_keep_methods_to_what_is_compiled(spark):
+    entry.queries()["table_totals"](spark, SMALL)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
