@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import LINE_END, compact, decimal_strict, fold_accents, html_unescaped, let, rejoined
+from ledgerlark.functions.scalars import LINE_END, TIDY, compact, decimal_strict, fold_accents, html_unescaped, let, rejoined
 
 # Header labels of the columns, and the English wordings that only fill what those leave open.
 LABELS = [
@@ -26,8 +26,10 @@ NEEDED = ["STT", "THHDVu", "SLuong", "DGia", "ThTien"]
 FIELDS = [f for _, f in LABELS]
 TOTALS = ("TgTCThue", "TgTThue", "TgTTTBSo")
 #: What a header row holds somewhere (STT in any accents, or its English wording); what a row of totals or rates holds.
-MAY_BE_HEADER = r"(?iu)[s\u015b\u015d\u015f\u0161\u0219]\p{M}*[t\u0163\u0165\u021b]\p{M}*[t\u0163\u0165\u021b]|\(no\.?\)"
-MAY_BE_TOTAL = r"(?iu)tổng|cộng|thuế"
+#: Both cases are written out: looking for them with a flag costs several times as much, and every row is looked at.
+_S, _T = "[sS\u017f\u015a-\u0161\u0218\u0219]", "[tT\u0162-\u0165\u021a\u021b]"
+MAY_BE_HEADER = rf"{_S}\p{{M}}*{_T}\p{{M}}*{_T}|\([nN][oO]\.?\)"
+MAY_BE_TOTAL = "[tT][ổỔ][nN][gG]|[cC][ộỘ][nN][gG]|[tT][hH][uU][ếẾ]"
 
 
 def folded(c: Column) -> Column:
@@ -79,7 +81,7 @@ def _plain(label: str) -> str:
 def analysed(tables: DataFrame, by: str = "table_id", table: str | None = None) -> DataFrame:
     """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force. Rows are shuffled by ``by``; where that may hold several
     tables, ``table`` tells them apart, and no columns of one are in force in another."""
-    row = tables.withColumn("row", F.transform("cells", compact))
+    row = tables.withColumn("row", F.when(F.forall("cells", lambda c: F.rlike(c, F.lit(TIDY))), F.col("cells")).otherwise(F.transform("cells", compact)))
     row = row.withColumn("header", F.when(F.rlike(F.array_join("cells", " ", ""), F.lit(MAY_BE_HEADER)), _header(F.col("row"))))
     row = row.withColumn("filled", F.filter("row", lambda c: c != "")).withColumn("first", F.lower(F.coalesce(F.get("filled", F.lit(0)), F.lit(""))))
     numbers = F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull())

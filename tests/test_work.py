@@ -1,6 +1,8 @@
 """What a query works out, as its plan says it: nothing costly twice."""
 
 import __spark_entry__ as entry
+from ledgerlark.functions import scalars as S
+from ledgerlark.operators import tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,3 +21,12 @@ def test_line_arithmetic_parses_each_number_once(spark):
 def test_queries_keep_methods_to_what_is_compiled(spark):
     entry.queries()["table_totals"](spark, SMALL)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_tidy_cells_stay_as_they_are(spark):
+    """Cells are compacted unless all of a row are tidy; what TIDY takes, compact leaves."""
+    cells = ["", "a", "Cái đẹp", "a b", "a  b", " a", "a ", "a\n", "a\u00a0b", "e\u0301", "１", "\u3000", "Tổng cộng:", "a\u2009b", "1.234,50"]
+    rows = spark.createDataFrame([(i, 0, [c, "x"]) for i, c in enumerate(cells)], "table_id int, row_idx int, cells array<string>")
+    got = {r.table_id: r.row[0] for r in tables.analysed(rows).select("table_id", "row").collect()}
+    want = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", S.compact("c").alias("c"))
+    assert got == {r.i: r.c for r in want.collect()}
