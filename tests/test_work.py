@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 from ledgerlark.functions import scalars as S
 from ledgerlark.operators import tables
+from ledgerlark.plans import derived
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +31,12 @@ def test_tidy_cells_stay_as_they_are(spark):
     got = {r.table_id: r.row[0] for r in tables.analysed(rows).select("table_id", "row").collect()}
     want = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", S.compact("c").alias("c"))
     assert got == {r.i: r.c for r in want.collect()}
+
+
+def test_partitions_grow_with_lines(spark, tmp_path):
+    """Not in size: what is made of a line is much wider than the line."""
+    lines = spark.range(1_000_000).selectExpr(
+        "id div 4 as l_orderkey", "id as l_partkey", "id as l_suppkey", "cast(id % 4 as int) as l_linenumber", "1.0D as l_quantity", "2.0D as l_extendedprice", "0.0D as l_discount", "0.0D as l_tax",
+        "timestamp_ntz'2024-01-01 00:00:00' as l_shipdate", "'A' as l_returnflag", "'O' as l_linestatus")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert derived.lines(spark, str(tmp_path)).rdd.getNumPartitions() == 7
