@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import mimetypes
 import unicodedata
+import zlib
 from collections.abc import Callable
 from functools import cache, reduce
 from html.entities import html5
@@ -40,11 +41,21 @@ def is_json(c: Column | str) -> Column:
     return F.when(col(c).isNotNull(), within("[", "]") & within('{"x":', "}"))
 
 
+#: What the numbers 128 to 159 stand for in references: the signs of Windows-1252, which Spark doesn't decode.
+OLD = "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in range(0x80, 0xA0))
+#: In how many groups the names of character references are dealt by a hash.
+NAMES = 1024
+
+
 @cache
-def _references() -> tuple[str, Column]:
-    """The pattern of a character reference, and a map of the named ones, as HTML lists them; some are also known without their semicolon."""
+def _references() -> tuple[str, str]:
+    """The pattern of a character reference, and the named ones, as HTML lists them; some are also known without their semicolon. Names are dealt into groups, so that one is looked up among two or three, not among all; they are
+    one text, as a plan of thousands of literals takes longer than the work."""
+    groups = [""] * NAMES
+    for name, sign in sorted(html5.items()):
+        groups[zlib.crc32(name.encode()) % NAMES] += f"\x01{name}\x02{sign}\x03"
     bare = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
-    return rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{bare}))", F.create_map(*[F.lit(x) for pair in sorted(html5.items()) for x in pair])
+    return rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{bare}))", "\x04".join(groups)
 
 
 def html_unescaped(c: Column | str) -> Column:
@@ -52,15 +63,21 @@ def html_unescaped(c: Column | str) -> Column:
     pattern, named = _references()
 
     def resolved(ref: Column) -> Column:
-        code = F.when(F.rlike(ref, F.lit("^&#[xX]")), F.conv(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)).when(F.startswith(ref, F.lit("&#")), F.regexp_extract(ref, "[0-9]+", 0)).try_cast("bigint")
-        legal = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
-        old = F.decode(F.unhex(F.lpad(F.hex(legal), 2, "0")), "windows-1252")
-        sign = F.when(legal.between(0x80, 0x9F), old).otherwise(F.decode(F.unhex(F.lpad(F.hex(legal), 8, "0")), "UTF-32"))
-        return F.when(F.startswith(ref, F.lit("&#")), sign).otherwise(F.coalesce(F.try_element_at(named, F.substring(ref, F.lit(2), F.length(ref))), ref))
+        code = F.when(F.rlike(ref, F.lit("^&#[xX]")), F.conv(F.regexp_extract(ref, "[xX]0*([0-9A-Fa-f]{1,8})(?![0-9A-Fa-f])", 1), 16, 10)).when(F.startswith(ref, F.lit("&#")), F.regexp_extract(ref, "[0-9]+", 0)).try_cast("bigint")
+        legal = lambda code: F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code).otherwise(0xFFFD)
+        old = lambda code: F.substring(F.lit(OLD), (code - 0x7F).cast("int"), F.lit(1))
+        sign = lambda code: F.when(code.between(0x80, 0x9F), old(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(F.startswith(ref, F.lit("&#")), let(let(code, legal), sign)).otherwise(let(F.substring(ref, F.lit(2), F.length(ref)), lambda name: F.coalesce(by_name(name), ref)))
+
+    def by_name(name: Column) -> Column:
+        group = F.get(F.split(F.lit(named), "\x04", -1), F.pmod(F.crc32(name.cast("binary")), F.lit(NAMES)).cast("int"))
+        key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+        return let(group, lambda x: F.when(F.contains(x, key), F.substring_index(F.call_function("substring_index", x, key, F.lit(-1)), "\x03", 1)))
 
     def joined(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return F.array_join(F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(resolved(F.get(found, i)), F.lit("")))), "")
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # once a text, not once for each of its references
+        pieces = lambda refs: F.transform(F.split(text, pattern, -1), lambda x, i: F.concat(x, F.coalesce(resolved(F.get(refs, i)), F.lit(""))))
+        return F.array_join(let(found, pieces), "")
 
     return F.when(F.contains(col(c), F.lit("&")), joined(col(c))).otherwise(col(c))
 
