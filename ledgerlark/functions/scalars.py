@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split() sees it.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-#: A text that ``compact`` leaves as it is: Latin letters and signs without marks, with single spaces between them. Most cells are; telling so is much cheaper than looking for blanks in each.
-TIDY = r"^(?:[!-~\u00a1-\u02ff\u1e00-\u1eff]++(?: (?=[^ ]))?)*+\z"
+#: What stands between cells where they are looked at as one text.
+BETWEEN = "\x7f"
+#: Cells, as one such text, that ``compact`` leaves as they are: Latin letters and signs without marks, with single spaces between them. Most are; telling so is much cheaper than looking for blanks in each.
+TIDY = r"^(?:[!-\x7f]++|(?<=[^\x7f ]) (?=[^\x7f ])|[¡-˿Ḁ-ỿ]++)*+\z"
 #: Line ends as Python's str.splitlines() sees them.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.scalars import LINE_END, TIDY, compact, decimal_strict, fold_accents, html_unescaped, let, rejoined
+from ledgerlark.functions.scalars import BETWEEN, LINE_END, TIDY, accent_folds, compact, decimal_strict, html_unescaped, let, rejoined
 
 # Header labels of the columns, and the English wordings that only fill what those leave open.
 LABELS = [
@@ -29,11 +30,16 @@ TOTALS = ("TgTCThue", "TgTThue", "TgTTTBSo")
 #: Both cases are written out: looking for them with a flag costs several times as much, and every row is looked at.
 _S, _T = "[sS\u017f\u015a-\u0161\u0218\u0219]", "[tT\u0162-\u0165\u021a\u021b]"
 MAY_BE_HEADER = rf"{_S}\p{{M}}*{_T}\p{{M}}*{_T}|\([nN][oO]\.?\)"
-MAY_BE_TOTAL = "[tT][ổỔ][nN][gG]|[cC][ộỘ][nN][gG]|[tT][hH][uU][ếẾ]"
+MAY_BE_TOTAL = "[tT](?:[ổỔ][nN][gG]|[hH][uU][ếẾ])|[cC][ộỘ][nN][gG]"
+
+#: The letters of the words that totals and rates begin with: lowering these alone costs much less than all of Unicode.
+STATED = "acghinostuàáưấếềổộ"
 
 
 def folded(c: Column) -> Column:
-    return F.lower(fold_accents(c))
+    """Without accents, and in small letters as far as labels have them: those that become a to z."""
+    accented, plain = accent_folds()
+    return F.regexp_replace(F.translate(c, accented + ascii_uppercase + "\u212a", plain.lower() + ascii_lowercase + "k"), r"\p{Mn}+", "")
 
 
 def header_columns(cells: Column) -> Column:
@@ -43,21 +49,34 @@ def header_columns(cells: Column) -> Column:
     return F.when(F.rlike(F.array_join(cells, " ", ""), F.lit(MAY_BE_HEADER)), let(F.transform(cells, compact), _header))
 
 
-def _header(row: Column) -> Column:
-    """The same of a row of compact cells."""
-    def found(plain: Column) -> Column:
-        entries = []
-        for label, field in LABELS:
-            at = F.array_max(_places(plain, _starting(_plain(label))))
-            for pattern in (p for f, p in ENGLISH if f == field):
-                at = F.coalesce(at, F.array_min(_places(row, _holding(pattern))))
-            entries.append(F.struct(F.lit(field).alias("k"), at.alias("v")))
-        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
+def _as_text(cells: Column) -> Column:
+    """Folded cells as one text, each behind BETWEEN, which none of them keeps."""
+    return F.concat(F.lit(BETWEEN), F.array_join(F.transform(cells, lambda c: F.translate(folded(c), BETWEEN, "\1")), BETWEEN))
+
+
+def _numbers_of(row: Column, text: Column) -> Column:
+    """For each field the number of its cell in a row of compact cells, null without one. Labels are looked for in ``_as_text`` of the row: behind the last of a label, the cells that follow are counted."""
+    out = []
+    for label, field in LABELS:
+        mark = BETWEEN + _plain(label)
+        behind = F.substring_index(text, mark, -1)
+        at = F.when(F.contains(text, F.lit(mark)), F.size(row) - 1 - F.octet_length(behind) + F.octet_length(F.replace(behind, F.lit(BETWEEN), F.lit(""))))
+        for pattern in (p for f, p in ENGLISH if f == field):
+            at = F.coalesce(at, F.array_min(_places(row, _holding(pattern))))
+        out.append(at)
+    return F.array(*out)
 
-    def whole(columns: Column) -> Column:
-        return F.when(reduce(lambda a, b: a & b, [F.map_contains_key(columns, F.lit(f)) for f in NEEDED]), columns)
 
-    return let(F.transform(row, folded), lambda plain: let(found(plain), whole))
+def _by_field(numbers: Column) -> Column:
+    """Field to number if all that are needed have one."""
+    needed = reduce(lambda a, b: a & b, [F.get(numbers, F.lit(FIELDS.index(f))).isNotNull() for f in NEEDED])
+    entries = F.array(*[F.struct(F.lit(f).alias("k"), F.get(numbers, F.lit(k)).alias("v")) for k, f in enumerate(FIELDS)])
+    return F.when(needed, F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())))
+
+
+def _header(row: Column) -> Column:
+    """``header_columns`` of a row of compact cells."""
+    return let(_as_text(row), lambda text: let(_numbers_of(row, text), _by_field))
 
 
 def _starting(prefix: str) -> Callable[[Column], Column]:
@@ -79,14 +98,20 @@ def _plain(label: str) -> str:
 
 
 def analysed(tables: DataFrame, by: str = "table_id", table: str | None = None) -> DataFrame:
-    """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force. Rows are shuffled by ``by``; where that may hold several
+    """Each row with what it is: its header map, the total or rate that it states, whether it resets the columns, and the columns in force; ``raw`` is its cells if one has several lines. Rows are shuffled by ``by``; where that may hold several
     tables, ``table`` tells them apart, and no columns of one are in force in another."""
-    row = tables.withColumn("row", F.when(F.forall("cells", lambda c: F.rlike(c, F.lit(TIDY))), F.col("cells")).otherwise(F.transform("cells", compact)))
-    row = row.withColumn("header", F.when(F.rlike(F.array_join("cells", " ", ""), F.lit(MAY_BE_HEADER)), _header(F.col("row"))))
-    row = row.withColumn("filled", F.filter("row", lambda c: c != "")).withColumn("first", F.lower(F.coalesce(F.get("filled", F.lit(0)), F.lit(""))))
-    numbers = F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull())
-    row = row.withColumn("numbers", F.when(F.rlike(F.array_join("filled", " "), F.lit(MAY_BE_TOTAL)), numbers).otherwise(F.array().cast("array<string>")))
-    n, first, plain = F.size("numbers"), F.col("first"), F.col("header").isNull() & (F.size("filled") > 0)
+    # a row is looked at as one text, as what goes through its cells one by one costs many times as much; only rows that may state totals have their filled cells gone through
+    row = tables.withColumn("_text", F.array_join("cells", BETWEEN, "  ")).withColumn("_bare", F.replace("_text", F.lit(BETWEEN), F.lit("")))
+    row = row.withColumn("_tidy", (F.octet_length("_text") - F.octet_length("_bare") == F.size("cells") - 1) & F.rlike("_text", F.lit(TIDY)))
+    row = row.withColumn("row", F.when(F.col("_tidy"), F.col("cells")).otherwise(F.transform("cells", compact))).withColumn("raw", F.when(F.contains("_text", F.lit("\n")), F.col("cells")))
+    plain = F.when(F.col("_tidy"), F.concat(F.lit(BETWEEN), folded(F.col("_text")))).otherwise(_as_text(F.col("row")))
+    row = row.withColumn("_plain", F.when(F.rlike("_text", F.lit(MAY_BE_HEADER)), plain))
+    row = row.withColumn("_numbers", F.when(F.col("_plain").isNotNull(), _numbers_of(F.col("row"), F.col("_plain")))).withColumn("header", _by_field(F.col("_numbers")))
+    row = row.withColumn("_text", F.when(F.col("_tidy"), F.col("_text")).otherwise(F.array_join("row", " "))).withColumn("_any", F.when(F.col("_tidy"), F.col("_bare") != "").otherwise(F.trim("_text") != ""))
+    row = row.withColumn("filled", F.when(F.rlike("_text", F.lit(MAY_BE_TOTAL)), F.array_remove("row", "")).otherwise(F.array().cast("array<string>")))
+    row = row.withColumn("first", F.when(F.size("filled") > 0, F.translate(F.get("filled", F.lit(0)), STATED.upper(), STATED)).otherwise(""))
+    row = row.withColumn("numbers", F.filter(F.slice("filled", 2, F.greatest(F.lit(0), F.size("filled") - 1)), lambda c: decimal_strict(c).isNotNull()))
+    n, first, plain = F.size("numbers"), F.col("first"), F.col("header").isNull() & F.coalesce("_any", F.lit(False))
     starts = lambda *texts: reduce(lambda a, b: a | b, [F.startswith(first, F.lit(t)) for t in texts])
     three = plain & starts("tổng cộng") & (n == 3)
     one = plain & ~three & (n == 1)
@@ -96,7 +121,7 @@ def analysed(tables: DataFrame, by: str = "table_id", table: str | None = None)
     rated = plain & ~three & starts("thuế suất") & (n == 3) & (rate != "")
     number = lambda i: F.get("numbers", F.lit(i))
     row = row.select(
-        *tables.columns, "row", "header", plain.alias("plain"),
+        *tables.columns, "row", "raw", "header", plain.alias("plain"),
         F.when(three, number(0)).when(subtotal, number(0)).alias("TgTCThue"),
         F.when(three, number(1)).when(tax, number(0)).alias("TgTThue"),
         F.when(three, number(2)).when(total, number(0)).alias("TgTTTBSo"),
@@ -114,7 +139,7 @@ def items(tables: DataFrame) -> DataFrame:
     """table_id, row_idx, the item fields, TChat (1 goods, 4 note, empty if unclear) and unclear (a row with amounts but no line number). Of tables that say where they come from (column
     ``page``, perhaps ``method``, and by row ``confidence``, one number a cell, and ``bbox``) also ExtractionSource and the entry in TTKhac that names it."""
     sourced = [c for c in ("page", "method", "confidence", "bbox") if c in tables.columns]
-    rows = analysed(tables).filter(MAY_BE_LINE).select("table_id", "row_idx", "cells", "columns", *sourced, *cells_by_field())
+    rows = analysed(tables).filter(MAY_BE_LINE).select("table_id", "row_idx", "raw", "columns", *sourced, *cells_by_field())
     is_line, line = _line()
     return rows.filter(is_line).select("table_id", "row_idx", *line, *(_provenance(sourced) if "page" in sourced else []))
 
@@ -133,7 +158,7 @@ def _line() -> tuple[Column, list[Column]]:
     amounts = reduce(lambda a, b: a | b, [F.col(f) != "" for f in ("SLuong", "DGia", "ThTien")])
     goods, note = F.col("STT").rlike(r"^\d+$"), (F.col("STT") == "") & ~amounts
     described = (F.col("THHDVu") != "") & ~F.col("THHDVu").rlike(r"^\(?\d+\)?$")
-    whole = compact(rejoined(F.get("cells", F.try_element_at("columns", F.lit("THHDVu")))))
+    whole = F.when(F.col("raw").isNotNull(), compact(rejoined(F.get("raw", F.try_element_at("columns", F.lit("THHDVu")))))).otherwise(F.col("THHDVu"))  # only a cell of several lines is rejoined
     columns = [*[whole.alias(f) if f == "THHDVu" else F.col(f) for f in FIELDS], F.when(goods, "1").when(note, "4").otherwise("").alias("TChat"), (~goods & ~note).alias("unclear")]
     return described & (goods | note | amounts), columns
 
@@ -145,7 +170,7 @@ def by_document(rows: DataFrame, *more: Column) -> DataFrame:
     counts; each rate row is there once. A document whose rows state nothing has no lines.
     """
     seen = analysed(rows, "doc_id", "table_no").withColumn("_may", F.expr(MAY_BE_LINE))
-    seen = seen.select("doc_id", F.struct("table_no", "row_idx").alias("_at"), "cells", "columns", "_may", *TOTALS, "rate", F.struct(F.lit(0).alias("_"), *more).alias("_more"), *cells_by_field())
+    seen = seen.select("doc_id", F.struct("table_no", "row_idx").alias("_at"), "raw", "columns", "_may", *TOTALS, "rate", F.struct(F.lit(0).alias("_"), *more).alias("_more"), *cells_by_field())
     is_line, line = _line()
     made = seen.select("doc_id", "_at", *TOTALS, "rate", F.when(F.col("_may") & is_line, F.struct("_at.*", *line, "_more.*")).alias("_line"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at")))

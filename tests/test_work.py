@@ -40,3 +40,15 @@ def test_partitions_grow_with_lines(spark, tmp_path):
         "timestamp_ntz'2024-01-01 00:00:00' as l_shipdate", "'A' as l_returnflag", "'O' as l_linestatus")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     assert derived.lines(spark, str(tmp_path)).rdd.getNumPartitions() == 7
+
+
+def test_rows_of_tables_are_looked_at_as_one_text(spark):
+    """Not cell by cell, which is interpreted, nor with Unicode's lower case; rows are made once, without a filter that makes them again; only cells of several lines go through the sort beside the row."""
+    found = plan(entry.queries()["table_to_items"](spark, SMALL))
+    assert "forall(" not in found and found.count("lower(") == 1 and "size(array" not in found and found.count("Tổng cộng:") == 1
+    header = ["STT", "Tên hàng\x7fhóa", "Số lượng", "Đơn giá", "THÀNH TIỀN", "stt again\x7f", "\x7f"]
+    rows = [(0, 0, header), (0, 1, ["1", "a/\nb", "2", "3", "4", "9", None]), (0, 2, ["", " b\x7f ", "", "", "", "", "x"]), (1, 0, [*header[:1], "(No.)", *header[2:]]), (1, 1, ["1"] * 7)]
+    made = spark.createDataFrame(rows, "table_id int, row_idx int, cells array<string>")
+    got = {(r.table_id, r.row_idx): (r.STT, r.THHDVu, r.TChat) for r in tables.items(made).collect()}
+    assert got == {(0, 1): ("9", "a/b", "1"), (0, 2): ("", "b\x7f", "4")}
+    assert made.select(tables.header_columns(made["cells"])).first()[0] == {"STT": 5, "THHDVu": 1, "SLuong": 2, "DGia": 3, "ThTien": 4}
