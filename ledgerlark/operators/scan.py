@@ -200,7 +200,8 @@ def containing(points: DataFrame, intervals: DataFrame, most: int = MOST) -> Dat
 
     Intervals may be of any lengths and overlap as they like. A group's ends are numbered in their order, by a running sum, and a point stands at an end's number or between two. An interval of numbers is cut into cells of powers of two, no more
     than two of each size; a cell keeps the first interval that covers it, and a point looks into the one cell of each size that it is in. So what is sent grows with the logarithm of a group's ends, never with their lengths or with how
-    many overlap."""
+    many overlap. Places that have points look, each once. Cells of a large group that are so wide that it has no more than about ``SLICES`` of a size are sent to all tasks, as a wide cell's looks would be one task's; these are
+    fewer than a group's rows / most * 2 * SLICES. Any other cell holds no more than a group's places / SLICES."""
     own = intervals.filter("lo <= hi")
     ends = own.select("g", F.explode(F.array(F.col("lo").cast("double"), F.col("hi").cast("double"))).alias("v")).distinct().withColumn("_end", F.lit(1).cast("long"))
     places = points.select("g", F.col("v").cast("double").alias("v")).filter("v is not null").distinct().withColumn("_end", F.lit(0).cast("long"))
@@ -225,8 +226,14 @@ def containing(points: DataFrame, intervals: DataFrame, most: int = MOST) -> Dat
     cells = F.flatten(F.transform(sizes, lambda j: F.array(
         F.when((left(j) < right(j)) & odd(left(j)), F.struct(j.alias("j"), left(j).alias("c"))), F.when((left(j) < right(j)) & odd(right(j)), F.struct(j.alias("j"), (right(j) - 1).alias("c")))
     )))
-    first = spans.select("g", "k", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy(F.col("g").alias("_g"), F.col("x.j").alias("_j"), F.col("x.c").alias("_c")).agg(F.min("k").alias("k"))
-    looks = placed(points.select("g", "id", "v"), "v", "_p").join(top, F.col("g").eqNullSafe(F.col("_t")))
-    looks = looks.select("g", "id", "_p", F.explode(sizes).alias("_size")).withColumn("_cell", F.floor(F.col("_p") / F.pow(F.lit(2.0), F.col("_size"))).cast("long"))
-    met = looks.join(first, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_j")) & (F.col("_cell") == F.col("_c")))
-    return met.groupBy("g", "id").agg(F.min("k").alias("k"))
+    wide = lambda j: (F.col("_top") > 2 * most) & (F.pow(F.lit(2.0), j) * SLICES >= F.col("_top"))
+    first = spans.select("g", "k", "_top", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).withColumn("_wide", wide(F.col("x.j")))
+    first = first.groupBy(F.col("g").alias("_g"), F.col("x.j").alias("_j"), F.col("x.c").alias("_c"), "_wide").agg(F.min("k").alias("k"))
+    found = written(placed(points.select("g", "id", "v"), "v", "_p"), "places")
+    looks = found.select("g", "_p").distinct().join(top, F.col("g").eqNullSafe(F.col("_t")))  # points at one place look once
+    looks = looks.select("g", "_p", "_top", F.explode(sizes).alias("_size")).withColumn("_cell", F.floor(F.col("_p") / F.pow(F.lit(2.0), F.col("_size"))).cast("long"))
+    looks = looks.select("g", "_p", "_size", "_cell", wide(F.col("_size")).alias("_of_wide"))
+    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("_size") == F.col("_j")) & (F.col("_cell") == F.col("_c"))
+    met = looks.filter("not _of_wide").join(first.filter("not _wide"), same).unionByName(looks.filter("_of_wide").join(F.broadcast(first.filter("_wide")), same))
+    best = met.groupBy(F.col("g").alias("_g"), F.col("_p").alias("_at")).agg(F.min("k").alias("k"))
+    return found.join(best, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_at"))).groupBy("g", "id").agg(F.min("k").alias("k"))

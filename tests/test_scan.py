@@ -106,3 +106,14 @@ def test_neighbourhoods_count_without_pairs(spark):
             assert {x.g: (-x.n, x.anchor) for x in got.collect()} == want
     many = spark.range(200_000).select(F.lit(1).alias("g"), "id", (F.col("id") / 200_000).alias("v"))
     assert [tuple(x) for x in scan.largest_neighbourhood(many, 2.0, most=50_000).collect()] == [(1, 0, 200_000)]
+
+
+def test_no_task_takes_a_wide_cell(spark):
+    """Before, every point of a group met in the one task of its widest cell; now no join of looks deals more than a share of the places to one key, and points at one place look once."""
+    points = spark.range(4000).selectExpr("1 as g", "id", "cast(id % 1000 as double) as v")
+    spans = spark.range(500).selectExpr("1 as g", "id as k", "cast(500 - id as double) as lo", "cast(500 + id as double) as hi")
+    df = scan.containing(points, spans, 100)
+    got = {r.id: r.k for r in df.collect()}
+    assert got == {i: abs(i % 1000 - 500) for i in range(4000) if abs(i % 1000 - 500) < 500}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Generate explode(sequence(0") == 2 and "Aggregate [g#" in plan
