@@ -191,3 +191,28 @@ def test_candidates_without_enough_different_words_are_settled_by_lookups(monkey
     monkeypatch.setattr(D.np, "isin", lambda *a: calls.append(a))
     assert D.best_share(np.tile(passage[:11], 20), passage, passage[20:]) == (0.0, 0.0, 0) and not calls
     assert D.best_share(np.concatenate((other, passage, other)), passage, passage[20:], D._masks(passage)) == (1.0, 1.0, 100) and set(calls) == {24, 4}
+
+
+def test_the_space_is_fitted_on_every_window(spark):
+    """However many there are; the fit goes through all of them without writing them."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat_ws(' ', 'a', concat('w', id), concat('x', id % 97)) as text")
+    idf, windows = D.measured(docs)
+    asked = D.asked(items(spark, [(1, "w1 w2 x3 x4 a b", 0)]))
+    assert windows == 40_000 and D.passage_vectors(docs, asked, idf, windows).count() == 40_001
+    few, bench, _ = made(8, 30)
+    few, bench = rows(spark, few).repartition(3), D.asked(items(spark, bench))
+    idf = D.weights(few)
+    found = [(np.frombuffer(r.at, "<i4"), np.frombuffer(r.w, "<f4")) for r in D.passage_vectors(few, bench, idf).collect()]
+    dense = np.zeros((len(found), D.FEATURES))
+    for i, (at, w) in enumerate(found):
+        dense[i, at] = w
+    own = [D.vector(D._text_words(t)[i : i + D.WINDOW], idf) for (t,) in few.select("text").collect() for i in range(0, len(D._text_words(t)), D.WINDOW)]
+    assert all((a == b).all() and np.allclose(v, w, atol=1e-6) for (a, v), (b, w) in zip(sorted(own, key=lambda x: x[0].tolist()), sorted(found[: len(own)], key=lambda x: x[0].tolist())))
+    table = np.random.default_rng(2).standard_normal((D.FEATURES, 5))
+    windows = dense[: len(own)]
+    assert np.allclose(D.text_product(few, table, idf), windows.T @ (windows @ table), atol=1e-3)
+    space = D.fitted_space(few, bench, idf)
+    kept = np.linalg.norm(space, axis=0) > 0.5
+    assert np.allclose(space[:, kept].T @ space[:, kept], np.eye(kept.sum()), atol=1e-3)
+    start = np.linalg.qr(D.latent_space(D.asked_vectors(bench, idf), dims=D.DIMS + D.OVER))[0][:, : D.DIMS]
+    assert kept.all() and np.linalg.norm(dense @ space) > np.linalg.norm(dense @ start)
