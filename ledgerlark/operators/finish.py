@@ -39,18 +39,18 @@ def finished(pages: DataFrame, rows: DataFrame, other_lines: DataFrame | None =
     labels state one rate and no rate rows were read, it is the rate of the goods lines that have none, and of one rate row if subtotal and tax are known; the only goods line takes the whole tax if its amount is the
     subtotal; warnings are rule numbers, each once. ``other_lines`` (doc_id, and the columns of lines) are used for documents whose tables gave no line.
     """
-    texts = labels.with_documents(joined_pages(pages))
+    texts = labels.with_fields(joined_pages(pages))
     sourced = "page" in rows.columns
     sure = F.transform(F.array(*map(F.lit, validate.AMOUNTS)), lambda f: F.get("confidence", F.try_element_at("columns", f)))
     more = ([F.col("page").cast("int").alias("page")] if sourced else []) + ([sure.alias("sure")] if sourced and "confidence" in rows.columns else [])
     per = tables.by_document(rows, *more).select("doc_id", "lines", *[F.col(c).alias(f"t_{c}") for c in TOTALS], "rates")
-    found, general = F.col("document.NDHDon.TToan"), F.col("document.TTChung")
+    general = lambda name: labels.field("general", name)
     met = texts.join(per, "doc_id", "left")
     if other_lines is not None:
         met = met.join(_other(other_lines, per), "doc_id", "left").withColumn("lines", first_filled(F.coalesce("lines", F.array().cast(per.schema["lines"].dataType)), F.col("_other"))).drop("_other")
     totals = met.select(
-        F.col("doc_id").alias("invoice_id"), "lines", (F.trim(blank("text")) != "").alias("_said"), general["SHDon"].alias("number"), general["NLap"].alias("issued"), validate.stated_rates("text").alias("_stated"),
-        *[F.coalesce(f"t_{c}", found[c]).alias(c) for c in TOTALS], F.coalesce("rates", F.array().cast("array<struct<TSuat:string,ThTien:string,TThue:string>>")).alias("rates"),
+        F.col("doc_id").alias("invoice_id"), "lines", (F.trim(blank("text")) != "").alias("_said"), general("SHDon").alias("number"), general("NLap").alias("issued"), validate.stated_rates("text").alias("_stated"),
+        *[F.coalesce(f"t_{c}", labels.field("totals", c)).alias(c) for c in TOTALS], F.coalesce("rates", F.array().cast("array<struct<TSuat:string,ThTien:string,TThue:string>>")).alias("rates"),
     )
     totals = totals.withColumn("_rate", F.when((F.size("_stated") == 1) & (F.size("rates") == 0), F.get("_stated", F.lit(0)))).drop("_stated")
 
